@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import quality
+from siftwork.llm import bpe, htmltext, licenses, quality, secrets, spotsigs
 from siftwork.llm._shared import documents
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scans": op1_secret_scans,
+        "op2_license_scans": op2_license_scans,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op8_spotsigs": op8_spotsigs,
+        "op10_html_extraction": op10_html_extraction,
         "op9_quality_rules": op9_quality_rules,
     }
 
