@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import bpe, htmltext, licenses, quality, secrets, spotsigs
+from siftwork.llm import bpe, htmltext, licenses, minhash, mixing, quality, secrets, spotsigs
 from siftwork.llm._shared import documents
 
 
@@ -18,6 +18,14 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(documents(spark, sf_dir))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(documents(spark, sf_dir))
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
@@ -38,6 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_license_scans": op2_license_scans,
+        "op3_source_mixing": op3_source_mixing,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_spotsigs": op8_spotsigs,
         "op10_html_extraction": op10_html_extraction,

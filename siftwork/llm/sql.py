@@ -17,4 +17,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES = {"op9_quality_rules": QUALITY}
+NEAR = r"""
+with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+sh as materialized (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [list_aggregate(ws, 'string_agg', chr(1))]
+  else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] || chr(1) || ws[i + 3]) end) s from d),
+n as (select doc_id, len(s)::bigint n from sh),
+u as materialized (select doc_id, hash(unnest(s)) h from sh),
+pairs as materialized (select x.doc_id a, y.doc_id b, count(*) bo from u x join u y on x.h = y.h and x.doc_id < y.doc_id group by 1, 2),
+links as materialized (select a, b from pairs join n p on p.doc_id = a join n q on q.doc_id = b where 100 * bo >= 80 * (p.n + q.n - bo)),
+e as materialized (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id r from n union select e.a, reach.r from e join reach on e.b = reach.doc_id)
+select n.doc_id, n.n n_shingles, min(r) component_id, n.doc_id = min(r) kept from n join reach using (doc_id) group by n.doc_id, n.n
+"""
+
+ORACLES = {"op4_minhash_dedup": NEAR, "op9_quality_rules": QUALITY}
