@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import bpe, htmltext, licenses, minhash, mixing, quality, secrets, spotsigs
+from siftwork.llm import blocks, bpe, htmltext, licenses, minhash, mixing, quality, secrets, spotsigs
 from siftwork.llm._shared import documents
 
 
@@ -26,6 +26,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
 
+def op5_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.digest(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scans": op2_license_scans,
         "op3_source_mixing": op3_source_mixing,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_block_dedup": op5_block_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_spotsigs": op8_spotsigs,
         "op10_html_extraction": op10_html_extraction,

@@ -30,4 +30,14 @@ reach as (select doc_id, doc_id r from n union select e.a, reach.r from e join r
 select n.doc_id, n.n n_shingles, min(r) component_id, n.doc_id = min(r) kept from n join reach using (doc_id) group by n.doc_id, n.n
 """
 
-ORACLES = {"op4_minhash_dedup": NEAR, "op9_quality_rules": QUALITY}
+REPEATS = r"""
+with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+w as materialized (select doc_id, i, md5(list_aggregate(ws[i:i + 19], 'string_agg', ' ')) g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) i from d where len(ws) >= 20)),
+rep as materialized (select doc_id, i from w qualify row_number() over (partition by g order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) k from rep),
+words as (select doc_id, unnest(ws) x, unnest(range(1, len(ws) + 1)) k from d),
+kept as (select doc_id, count(*) n, string_agg(x, ' ' order by k) t from words anti join gone using (doc_id, k) group by 1)
+select doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)
+"""
+
+ORACLES = {"op5_block_dedup": REPEATS, "op4_minhash_dedup": NEAR, "op9_quality_rules": QUALITY}
