@@ -134,8 +134,18 @@ def clean_location(c: Column) -> Column:
 
 
 def contexts(c: Column, pattern: str, width: int = 50) -> Column:
-    """Every match with up to width characters on either side."""
-    return F.regexp_extract_all(c, F.lit(f"[\\s\\S]{{0,{width}}}(?:{pattern})[\\s\\S]{{0,{width}}}"), F.lit(0))
+    """Every match with up to width characters on either side; contexts of near matches overlap."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    pieces = F.split(c, pattern)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,n:int>>").alias("out"))
+
+    def step(acc, x):
+        s = acc["at"] + F.length(x["p"])
+        n = F.length(x["m"])
+        return F.struct((s + n).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), n.alias("n")))).alias("out"))
+
+    places = F.aggregate(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), start, step)["out"]
+    return F.transform(places, lambda x: F.substr(c, F.greatest(F.lit(1), x["s"] + 1 - width), x["n"] + width + F.least(x["s"], F.lit(width))))
 
 
 def chunks(text: Column) -> Column:

@@ -62,10 +62,12 @@ def label_sql(score: str) -> str:
     return f"case when {score} >= 70 then 'good_fit' when {score} >= 50 then 'maybe' else 'bad_fit' end"
 
 
+#: French texts hold the word "ai", which is no skill there.
+BODY = "replace(replace(replace(replace(text, 'ai', 'ay'), 'Ai', 'Ay'), 'AI', 'AY'), 'aI', 'aY')"
 JOBS = f"""
 select doc_id, doc_id + 1 line_no, 'doc_' || doc_id job_id, {pick(TITLES, 1)} title, 'Acme ' || source || {pick(SUFFIXES, 6)} company,
-  {pick(LOCATIONS, 2)} job_location, {pick(WAYS, 3)} || ' ' || {pick(STACKS, 4)} || ' ' || {pick(PAY, 5)} || chr(10) || text jd_text,
-  text body, source source_file, lang,
+  {pick(LOCATIONS, 2)} job_location, {pick(WAYS, 3)} || ' ' || {pick(STACKS, 4)} || ' ' || {pick(PAY, 5)} || chr(10) || {BODY} jd_text,
+  {BODY} body, source source_file, lang,
   {pick(PLACES, 2)} x_loc, {pick(ARRANGEMENTS, 3)} x_arr, {pick(SENIORITIES, 1)} x_sen, {pick(TECHS, 4)} x_tech, {pick(COMPS, 5)} x_comp, {u(9, 20)} dent
 from {{documents}}
 """
