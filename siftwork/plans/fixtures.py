@@ -7,6 +7,7 @@ are the driver's tables. Choices are integer arithmetic on doc_id; nothing is ra
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TITLES = ["Senior Software Engineer", "Backend Developer", "Engineering Manager", "Junior QA Engineer", "Staff Data Scientist", "Sr. Node Developer", "Product Manager"]
 SENIORITIES = ["LEVEL_3", "LEVEL_2", "LEVEL_3", "LEVEL_2", "LEVEL_3", "LEVEL_3", "LEVEL_3"]
@@ -74,16 +75,16 @@ from {{documents}}
 GOLD = f"""
 select doc_id, line_no, job_id, title, company, job_location, jd_text, body, source_file, lang, loc, arr, sen, tech, comp, {score_sql('loc', 'sen', 'tech', 'comp')} score
 from (select *, case when dent = 0 then {shifted('x_loc', LOCS)} else x_loc end loc, x_arr arr, case when dent = 1 then {shifted('x_sen', SENS)} else x_sen end sen,
-  x_tech tech, case when dent = 2 then {shifted('x_comp', COMP_TOKENS)} else x_comp end comp from ({JOBS}) j) g
+  x_tech tech, case when dent = 2 then {shifted('x_comp', COMP_TOKENS)} else x_comp end comp from {{jobs}} j) g
 """
 #: Labelled jobs: gold tokens, score and label.
-LABELLED = f"select *, {label_sql('score')} label from ({GOLD}) s"
+LABELLED = f"select s.*, {label_sql('score')} label from {{gold}} s"
 _PRED = f"""
 select line_no job_index, doc_id, {u(11, 14)} = 0 parse_fail, {u(17, 25)} = 0 invalid_token, loc g_loc, arr g_arr, sen g_sen, tech g_tech, comp g_comp, score g_score, label g_label,
   case when {u(12, 8)} = 0 then {shifted('loc', LOCS)} else loc end p_loc, case when {u(13, 8)} = 0 then {shifted('arr', ARRS)} else arr end p_arr,
   case when {u(14, 8)} = 0 then {shifted('sen', SENS)} else sen end p_sen, case when {u(15, 8)} = 0 then {shifted('tech', TECH_SETS)} else tech end p_tech,
   case when {u(16, 8)} = 0 then {shifted('comp', COMP_TOKENS)} else comp end p_comp
-from ({LABELLED}) l
+from {{labelled}} l
 """
 #: Predictions joined with gold: tokens are null where parsing failed or a token is invalid.
 PREDICTIONS = f"""
@@ -91,7 +92,7 @@ select job_index, doc_id, parse_fail, invalid_token, g_loc, g_arr, g_sen, g_tech
   case when not (parse_fail or invalid_token) then p_loc end p_loc, case when not (parse_fail or invalid_token) then p_arr end p_arr, case when not (parse_fail or invalid_token) then p_sen end p_sen,
   case when not (parse_fail or invalid_token) then p_tech end p_tech, case when not (parse_fail or invalid_token) then p_comp end p_comp,
   case when not (parse_fail or invalid_token) then p_score end p_score, case when not (parse_fail or invalid_token) then {label_sql('p_score')} end p_label
-from (select *, {score_sql('p_loc', 'p_sen', 'p_tech', 'p_comp')} p_score from ({_PRED}) p) q
+from (select *, {score_sql('p_loc', 'p_sen', 'p_tech', 'p_comp')} p_score from {{drawn}} p) q
 """
 #: Runs of models: a day of events is a run, an event type a model.
 RUNS = "select cast(date_trunc('day', ts) as date) run, event_type model, cast(count(*) as bigint) n, sum(case when event_id % 3 <> 0 then 1 else 0 end) ok, sum(abs(value - 50)) abs_err from {events} group by 1, 2"
@@ -100,22 +101,36 @@ RAW_TOKENS = f"""
 select doc_id, case {u(21, 5)} when 0 then lower(loc) when 1 then loc || 'X' when 2 then 'XX' || loc when 3 then loc || 'QZWK' else loc end loc,
   case {u(22, 4)} when 0 then lower(arr) when 1 then arr || 'Y' else arr end arr, case {u(23, 4)} when 0 then 'LEVEL3' when 1 then 'level_2' else sen end sen,
   case {u(24, 5)} when 0 then 'OOS,' || tech when 1 then '' when 2 then lower(tech) else tech end tech, case {u(25, 4)} when 0 then lower(comp) when 1 then substr(comp, 2) else comp end comp
-from ({LABELLED}) l
+from {{labelled}} l
 """
 #: Target counts of tokens, as a distribution table has them.
 TARGETS = "select * from (values ('loc','IN_LONDON',120),('loc','REMOTE',180),('loc','UK_OTHER',260),('loc','OUTSIDE_UK',240),('loc','UNK',150),('arr','REMOTE',200),('arr','HYBRID',260),('arr','IN_OFFICE',300),('arr','UNK',200),('sen','LEVEL_3',600),('sen','LEVEL_2',250),('sen','LEVEL_1',90),('comp','NO_GBP',500),('comp','UP_TO_ONLY',80),('comp','BELOW_45K',60),('comp','RANGE_45_54K',90),('comp','RANGE_55_74K',110),('comp','RANGE_75_99K',100),('comp','ABOVE_100K',70)) t(field, token, target)"
 
-TABLES = {"jobs": JOBS, "labelled": LABELLED, "predictions": PREDICTIONS, "runs": RUNS, "raw_tokens": RAW_TOKENS, "targets": TARGETS}
+TABLES = {"jobs": JOBS, "gold": GOLD, "drawn": _PRED, "labelled": LABELLED, "predictions": PREDICTIONS, "runs": RUNS, "raw_tokens": RAW_TOKENS, "targets": TARGETS}
 DRIVER = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver's table or a derived one."""
+    """A driver's table or a derived one. A derived table that another one reads is fenced by a generator, else Catalyst
+    would write its CASE expressions out once for every use."""
     if name in DRIVER:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(TABLES[name].format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in DRIVER}))
+    sql = TABLES[name]
+    used = {t: table(spark, sf_dir, t) for t in [*DRIVER, *TABLES] if f"{{{t}}}" in sql}
+    fenced = {t: f if t in DRIVER else f.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*") for t, f in used.items()}
+    return spark.sql(sql, **fenced)
+
+
+def inlined(name: str) -> str:
+    sql = TABLES[name]
+    for t in TABLES:
+        if f"{{{t}}}" in sql:
+            sql = sql.replace(f"{{{t}}}", f"({inlined(t)})")
+    for t in DRIVER:
+        sql = sql.replace(f"{{{t}}}", t)
+    return sql
 
 
 def ctes(*names: str) -> str:
     """The derived tables as DuckDB's WITH list."""
-    return "with recursive " + ", ".join(f"{n} as materialized ({TABLES[n].format(**{t: t for t in DRIVER})})" for n in names) + " "
+    return "with recursive " + ", ".join(f"{n} as materialized ({inlined(n)})" for n in names) + " "
