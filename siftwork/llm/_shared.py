@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this many bytes of text, so memory follows this and the longest text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 
 
@@ -121,17 +121,35 @@ def words_of(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.n
     inner = at[(at > 0)] - 1
     after[inner] = True  # a row's last byte precedes one
     ends = np.flatnonzero(~gap & after) + 1
-    base = 0xD6E8FEB86659FD93
-    values = _BYTE[_LOWER[raw]] if lower else _BYTE[raw]
-    hashes = np.zeros(len(starts), U64)
-    with np.errstate(over="ignore"):
-        # Chunks keep the powers' table short; words that are cut by one are summed from both.
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(values * powers(n, base), out=sums[1:])
-        inverse = pow(base, -1, 1 << 64)
-        hashes = (sums[ends] - sums[starts]) * powers(n + 1, inverse)[starts]
-        hashes = mix(hashes + (ends - starts).astype(U64) * _ODD)
-    return starts, ends, hashes, np.searchsorted(starts, at)
+    return starts, ends, _word_hashes(raw, starts, ends, lower), np.searchsorted(starts, at)
+
+
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes whose sums are held at once; a longer word is held whole.
+_SPAN = 1 << 19
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + _SPAN, "right")))
+        n = int(ends[j - 1]) - lo
+        size = max(_SPAN, n)
+        if size not in _powers:
+            _powers.clear()
+            _powers[size] = powers(size, _BASE), powers(size, pow(_BASE, -1, 1 << 64))
+        up, down = _powers[size]
+        part = raw[lo : lo + n]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(_BYTE[_LOWER[part] if lower else part] * up[:n], out=sums[1:])
+            a, b = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64) * _ODD)
+        i = j
+    return out
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
