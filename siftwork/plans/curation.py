@@ -235,7 +235,7 @@ def tolerance_report(spark, d):
     return table(spark, d, "targets").join(counts(spark, d), ["field", "token"], "left").select("field", "token", F.when(off <= 0.1 * base, "ok").when(off <= 0.2 * base, "warn").otherwise("fail").alias("verdict"))
 
 
-@query("select lang, n, list_sort(l)[(floor((n - 1) * 0.5))::int + 1] p50, list_sort(l)[(floor((n - 1) * 0.9))::int + 1] p90, list_sort(l)[(floor((n - 1) * 0.99))::int + 1] p99, "over" from (select lang, count(*) n, list(length(text)) l, count(*) filter (length(text) > 1400) "over" from documents group by 1) x")
+@query("select lang, n, list_sort(l)[(floor((n - 1) * 0.5))::int + 1] p50, list_sort(l)[(floor((n - 1) * 0.9))::int + 1] p90, list_sort(l)[(floor((n - 1) * 0.99))::int + 1] p99, n_over from (select lang, count(*) n, list(length(text)) l, count(*) filter (length(text) > 1400) n_over from documents group by 1) x")
 def percentile_lengths(spark, d):
     """Values at rank floor((n - 1) * p), through counts of equal lengths."""
     from pyspark.sql import Window
@@ -244,7 +244,7 @@ def percentile_lengths(spark, d):
     w = Window.partitionBy("lang").orderBy("len")
     cum = per.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(Window.partitionBy("lang")))
     at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col("len")))
-    return cum.groupBy("lang").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.sum(F.when(F.col("len") > 1400, F.col("k")).otherwise(0)).alias("over"))
+    return cum.groupBy("lang").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.sum(F.when(F.col("len") > 1400, F.col("k")).otherwise(0)).alias("n_over"))
 
 
 @query("select quality, toxic, count(*) n from documents join labels using (doc_id) group by 1, 2")
