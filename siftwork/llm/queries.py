@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import blocks, bpe, htmltext, licenses, minhash, mixing, quality, secrets, spotsigs
+from siftwork.llm import blocks, bpe, htmltext, licenses, minhash, mixing, quality, secrets, spotsigs, suffixes
 from siftwork.llm._shared import documents
 
 
@@ -34,6 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir))
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_block_dedup": op5_block_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_spotsigs": op8_spotsigs,
         "op10_html_extraction": op10_html_extraction,
         "op9_quality_rules": op9_quality_rules,

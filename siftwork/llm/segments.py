@@ -62,18 +62,23 @@ def unpack(b: pa.RecordBatch, k: int) -> Segment:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, lowest bytes of all items first: equal high bytes then compress away."""
+    """The bytes of an array, lowest bytes of all items first: equal high bytes then compress away. Items of more than
+    eight bytes are texts, and compressed here."""
+    if a.itemsize > 8:
+        return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
-def unplaned(raw: bytes, kind: type) -> np.ndarray:
+def unplaned(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    if size > 8:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind) if raw else np.zeros(0, kind)
 
 
 def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard begins in sorted 64-bit keys, one more than shards. Shards are equal ranges of the key space."""
-    lows = np.array([(i << 64) // shards for i in range(1, shards)], U64)
+    lows = np.array([((i << 32) // shards) << 32 for i in range(1, shards)], U64)
     return np.concatenate([[0], np.searchsorted(keys, lows), [len(keys)]])
 
 
@@ -115,16 +120,17 @@ def answered(table: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def bits_of(b: pa.RecordBatch, k: int) -> Callable[[np.ndarray, int], np.ndarray]:
-    """A function from the sorted keys that a segment asked with, and the number of shards, to the answers' bits."""
+    """A function from the sorted keys that a segment asked with, and the number of shards, to the answers' bits, of which
+    a key has width."""
     said = b.column("answers")[k].as_py() or []
 
-    def of(keys: np.ndarray, shards: int) -> np.ndarray:
+    def of(keys: np.ndarray, shards: int, width: int = 1) -> np.ndarray:
         cuts = shard_cuts(keys, shards)
-        out = np.zeros(len(keys), bool)
+        out = np.zeros((len(keys), width), bool)
         for x in said:
             i, j = cuts[x["shard"]], cuts[x["shard"] + 1]
-            out[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i).astype(bool)
-        return out
+            out[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=(j - i) * width).reshape(-1, width).astype(bool)
+        return out[:, 0] if width == 1 else out
 
     return of
 
@@ -171,7 +177,9 @@ def held_earlier(held: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 def spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n places lie in [s, s + length) for one of the starts."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.subtract.at(step, np.minimum(starts + length, n), 1)
-    return np.cumsum(step[:n]) > 0
+    mark = np.zeros(n, np.int32)
+    mark[starts] = 1
+    upto = np.cumsum(mark, dtype=np.int32)
+    out = upto > 0
+    out[length:] = upto[length:] > upto[:-length]
+    return out
