@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ def signatures(text: str, chain: int = CHAIN, distance: int = DISTANCE) -> np.nd
         else:
             content.append(w)
     reach = (chain - 1) * distance + 1
-    hashed = xxhash.xxh32_intdigest
+    hashed = lambda s: int.from_bytes(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4], "big")
     out = {hashed(" ".join([w, *content[k : k + reach : distance]])) for w, k in follows if k + reach <= len(content)}
     return np.array(sorted(out or {hashed(text)}), np.uint32)
 

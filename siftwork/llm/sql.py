@@ -40,4 +40,88 @@ kept as (select doc_id, count(*) n, string_agg(x, ' ' order by k) t from words a
 select doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)
 """
 
-ORACLES = {"op5_block_dedup": REPEATS, "op4_minhash_dedup": NEAR, "op9_quality_rules": QUALITY}
+
+#: op7: 100 hex digits are 50 bytes.
+BYTES = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+w as materialized (select doc_id, k, hash(substr(h, 2 * k + 1, 100)) g from (select doc_id, h, unnest(range(0, n - 49)) k from d where n >= 50)),
+gone as materialized (select doc_id, k, lag(k) over o before, lead(k) over o after from (select doc_id, k from w qualify min(doc_id) over (partition by g) < doc_id) x window o as (partition by doc_id order by k)),
+r as (select doc_id, sum(least(50, coalesce(after - k, 50)))::bigint removed, count(*) filter (before is null or k - before > 50) spans from gone group by 1),
+pieces as (select doc_id, k + 50 a, coalesce(after, n) b from gone join d using (doc_id) where coalesce(after, n) > k + 50 union all select doc_id, 0, min(k) from gone group by 1),
+kept as (select doc_id, string_agg(substr(h, (2 * a + 1)::int, (2 * (b - a))::int), '' order by a) h from pieces join d using (doc_id) group by 1)
+select doc_id, n::bigint n_bytes, coalesce(removed, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(kept.h, case when removed is null then d.h else '' end))) kept_sha256
+from d left join r using (doc_id) left join kept using (doc_id)
+"""
+
+#: op10, for pages that mark their article: its blocks, without tags, with references decoded.
+ARTICLES = """
+select page_id, url, t text, length(t)::bigint n_chars from (select page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '<br>', ' '), '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&quot;', '"'), '&amp;', chr(1)), '&amp', chr(1)), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) t0, replace(t0, chr(1), '&') t from pages) p
+"""
+
+
+def _spans(rules) -> str:
+    """Every rule's matches with their places: lengths of what stands between and of the matches, summed up."""
+    each = []
+    for k, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''").replace("(?i:(password|passwd|secret|token|api_?key))", "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])")
+        each.append(f"select doc_id, {k} kind_no, '{r.kind}' kind, unnest(regexp_extract_all(t, '{pattern}')) m, unnest(regexp_split_to_array(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) gap, unnest(range(len(regexp_extract_all(t, '{pattern}')))) i, {r.least} least, {f"length(regexp_extract(m, '{pattern}', {r.group}))" if r.group else 'length(m)'} size from d")
+    return " union all ".join(each)
+
+
+def secret_spans() -> str:
+    from siftwork.llm.secrets import BASE, MORE
+
+    said = "kind || ':' || (stop - length(m)) || ':' || stop"
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    return f"""
+with d as materialized (select doc_id, coalesce(text, '') t from documents), m as materialized ({_spans(BASE + MORE)}),
+p as (select *, (sum(length(gap) + length(m)) over (partition by doc_id, kind_no order by i))::bigint stop from m), s as (select * from p where size >= least),
+g as (select doc_id, {', '.join(f"count(*) filter (kind = '{r.kind}') n_{r.kind}" for r in BASE)}, string_agg({said}, ',' order by stop - length(m), kind_no) filter (kind in ({base})) b, string_agg({said}, ',' order by stop - length(m), kind_no) spans from s group by 1)
+select doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) n_{r.kind}' for r in BASE)}, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join g using (doc_id)
+"""
+
+
+def license_labels() -> str:
+    from siftwork.llm.licenses import PHRASES, TEMPLATES, template_regex
+
+    base = ", ".join(f"case when contains(j, ' {p} ') then '{k}' end" for p, k in PHRASES.items())
+    more = ", ".join(f"""case when regexp_matches(j, ' {template_regex(t).replace(chr(92) + "-", "-")}') then '{k}' end""" for k, t in TEMPLATES.items())
+    at = " or ".join("(" + " and ".join(f"ws[i{f' + {n}' if n else ''}] = '{w}'" for n, w in enumerate(p.split())) + ")" for p in PHRASES)
+    joined = "coalesce(list_aggregate(list_sort(list_distinct(list_filter({}, lambda x: x is not null))), 'string_agg', ','), '')"
+    return rf"""
+with d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+j as materialized (select doc_id, ws, ' ' || coalesce(list_aggregate(ws, 'string_agg', ' '), '') || ' ' j from d),
+p as (select doc_id, ws, j, list_filter(range(1, len(ws) + 1), lambda i: {at}) spot, [{base}] b, [{more}] m from j)
+select doc_id, len(ws)::bigint n_words, len(spot)::bigint n_base, spot[1] - 1 first_word, spot[-1] - 1 last_word, {joined.format('b')} base_labels, {joined.format('list_concat(b, m)')} labels,
+  case when len(list_filter(m, lambda x: x is not null)) > 0 then 1.0::double when len(spot) > 0 then 0.5::double else 0.0::double end score from p
+"""
+
+
+def fingerprints() -> str:
+    from siftwork.llm.spotsigs import COMMON
+
+    common = ", ".join(f"'{w}'" for w in sorted(COMMON))
+    return rf"""
+with d as (select doc_id, coalesce(text, '') t from documents), o as materialized (select doc_id, t, coalesce(lead(t) over (order by doc_id), (select arg_min(t, doc_id) from d)) nt, coalesce(lead(doc_id) over (order by doc_id), (select min(doc_id) from d)) nd from d),
+x as materialized (select doc_id, nd, 0 kind, t from o union all select doc_id, nd, 1, case when length(t) < 4 then t else substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) end from o),
+w as (select doc_id, kind, unnest(ws) w, unnest(range(len(ws))) i from (select doc_id, kind, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') ws from x) y),
+c as materialized (select *, w in ({common}) com, count(*) filter (w not in ({common})) over (partition by doc_id, kind order by i) k from w),
+n as materialized (select doc_id, kind, k, w from c where not com),
+sig as (select distinct a.doc_id, a.kind, substr(md5(a.w || ' ' || p.w || ' ' || q.w), 1, 8) s from c a join n p on p.doc_id = a.doc_id and p.kind = a.kind and p.k = a.k + 1 join n q on q.doc_id = a.doc_id and q.kind = a.kind and q.k = a.k + 2 where a.com),
+f as materialized (select x.doc_id, x.kind, x.nd, x.t, coalesce(l, [substr(md5(x.t), 1, 8)]) l from x left join (select doc_id, kind, list(s order by s) l from sig group by 1, 2) g using (doc_id, kind)),
+m as (select a.doc_id, length(a.t)::bigint n_chars, sha256(b.t) edited_sha256, a.l la, b.l lb, e.l le from f a join f b on b.doc_id = a.doc_id and b.kind = 1 join f e on e.doc_id = a.nd and e.kind = 0 where a.kind = 0)
+select doc_id, n_chars, edited_sha256, list_aggregate(la, 'string_agg', '') fingerprint, list_aggregate(lb, 'string_agg', '') edited_fingerprint, len(list_intersect(la, lb)) / len(list_distinct(list_concat(la, lb))) near_edited, len(list_intersect(la, le)) / len(list_distinct(list_concat(la, le))) near_next from m
+"""
+
+
+ORACLES = {
+    "op8_spotsigs": fingerprints(),
+    "op1_secret_scans": secret_spans(),
+    "op2_license_scans": license_labels(),
+    "op4_minhash_dedup": NEAR,
+    "op5_block_dedup": REPEATS,
+    "op7_suffix_dedup": BYTES,
+    "op9_quality_rules": QUALITY,
+    "op10_html_extraction": ARTICLES,
+}
