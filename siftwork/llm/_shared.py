@@ -174,14 +174,11 @@ def whole_runs(first: np.ndarray, width: int, n: int) -> np.ndarray:
     return ok
 
 
-def grouped_min(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches. Large-star and small-star, alternating.
 
-    Joins and partial aggregates only, so a hub of any degree is dealt out; every round is written to the shared folder.
+    A node's least neighbour is a partial aggregate, written before it is joined with the node's edges: both sides of the
+    join are then shuffled for it, and a hub's edges can be split among tasks. Every round is written to the shared folder.
     Self-links and nulls are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -189,18 +186,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = grouped_min(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small-star: each u's smaller neighbours and u itself point to the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        last, now = now, settled(small)
-        cleared(spark, last)
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        cleared(spark, now, least)
+        # each node's smaller neighbours and the node itself point to the smallest of them
+        down = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+        now = settled(large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        cleared(spark, large, down)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break
         mark = tuple(found)
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label"))
+    ends = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    return ends.groupBy("node").agg(F.min("label").alias("label"))
 
 
 def _count_below(bounds: list, key) -> F.Column:
