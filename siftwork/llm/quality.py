@@ -98,16 +98,16 @@ def method_rules() -> list[Rule]:
 def ordered(df: DataFrame, rules: list[Rule], rows: int = 2000) -> list[Rule]:
     """Rules by rejections per second on a sample of at most `rows` rows, best first. Rules that reject nothing go last.
 
-    The sample sets the order, so it moves the cost and never a verdict.
+    The sample is the first rows that the first partitions give, so the rest of a large table is not read, and each rule
+    computes the measures that it needs alone. It sets the order, so it moves the cost and never a verdict.
     """
-    sample = df.limit(rows)
     if not rules:
         return []
 
     def timed(rule: Rule) -> tuple[float, int]:
         began = time.perf_counter()
-        n = sample.agg(F.count_if(F.coalesce(rule.rejects, F.lit(False)))).first()[0]
-        return time.perf_counter() - began, n
+        said = df.select(F.coalesce(rule.rejects, F.lit(False)).alias("r")).take(rows)
+        return time.perf_counter() - began, sum(x.r for x in said)
 
     timed(rules[0])  # compiled code and open files count for none
     found = [(rule, *timed(rule)) for rule in rules]
