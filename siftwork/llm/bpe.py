@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from siftwork.llm._shared import buffer_of, mapped, only
 
-#: Pre-tokens that a worker remembers; at this many it starts anew, which costs time and changes nothing.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers, of so many characters at most; at this many it starts anew, which costs time and
+#: changes nothing.
+REMEMBERED, SHORT = 400_000, 64
 #: Bytes 0 to 255 as letters that no piece marker, white space or control character is among.
 LETTERS = [chr(0x4E00 + b) for b in range(256)]
 TO_LETTERS = {b: LETTERS[b] for b in range(256)}
@@ -105,9 +106,11 @@ class Codec:
         ids = [whole] if whole is not None else [self.rank_of[i] for i in self.model.encode(spell(raw))]
         if -1 in ids:
             raise ValueError(f"the vocabulary lacks a byte of {pre!r}")
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        packed = self.seen[pre] = np.array(ids, "<u4").tobytes()
+        packed = np.array(ids, "<u4").tobytes()
+        if len(pre) <= SHORT:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[pre] = packed
         return packed
 
     def encode(self, text: str) -> bytes:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._shared import _LOWER, buffer_of, mapped, only
+from siftwork.llm._shared import _LOWER, buffer_of, mapped, only, sliced
 
 ALL = ("all",)
 #: A run of alternatives beyond this many strings is closed and started anew.
@@ -236,7 +236,7 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str =
             texts[row] = "".join(out) + text[last:]
         return b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
 
-    return df.mapInArrow(lambda batches: (run(b) for b in batches), df.schema)
+    return df.mapInArrow(lambda batches: (run(b) for b in sliced(batches)), df.schema)
 
 
 def digest(df: DataFrame) -> DataFrame:
