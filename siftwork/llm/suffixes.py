@@ -36,7 +36,7 @@ COVER = LENGTH + STRINGS - 1
 BEYOND = 0xFF
 QUEUE = 256 << 20
 CHUNK = 1 << 18
-_SPAN = 1 << 19
+_SPAN = 1 << 18
 _BASE = 0xC2B2AE3D27D4EB4F
 _table: list[np.ndarray] = []
 
@@ -62,23 +62,32 @@ def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
 
 def minimizers(hashes: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Where the leftmost least hash of each valid string stands; valid: for each place, whether a string starts there."""
+    low = U64((1 << 24) - 1)
+    v = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
+    span = 1
+    while span * 2 <= STRINGS:
+        v = np.minimum(v[:-span], v[span:])
+        span *= 2
+    if span < STRINGS:
+        v = np.minimum(v[: len(v) - (STRINGS - span)], v[STRINGS - span :])
     mark = np.zeros(len(hashes), bool)
-    block, bits = 1 << 20, U64(24)
-    low = (U64(1) << bits) - U64(1)
+    mark[(v[: len(valid)][valid] & low).astype(np.int64)] = True
+    return np.flatnonzero(mark)
+
+
+def anchored(raw: np.ndarray, valid: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizers of all valid strings and their hashes, block by block, so hashes of one block are held at once."""
+    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for a in range(0, len(valid), block):
         ok = valid[a : a + block]
-        if not ok.any():
-            continue
-        h = hashes[a : a + len(ok) + STRINGS - 1]
-        v = (h & ~low) | np.arange(len(h), dtype=U64)
-        span = 1
-        while span * 2 <= STRINGS:
-            v = np.minimum(v[:-span], v[span:])
-            span *= 2
-        if span < STRINGS:
-            v = np.minimum(v[: len(v) - (STRINGS - span)], v[STRINGS - span :])
-        mark[(v[: len(ok)][ok] & low).astype(np.int64) + a] = True
-    return np.flatnonzero(mark)
+        if ok.any():
+            h = gram_hashes(raw[a : a + len(ok) + LENGTH - 1], GRAM)
+            m = minimizers(h, ok)
+            at.append(m + a)
+            hashes.append(h[m])
+    # strings on both sides of a border can have one minimizer
+    at, first = np.unique(np.concatenate(at), return_index=True)
+    return at, np.concatenate(hashes)[first]
 
 
 class _Bytes:
@@ -87,15 +96,11 @@ class _Bytes:
     def __init__(self, seg: sg.Segment):
         self.raw, self.ids = seg.raw, seg.ids
         n = max(0, len(seg.raw) - LENGTH + 1)
-        step = np.zeros(n + 1, np.int32)
+        valid = np.zeros(n, bool)
         size = np.diff(seg.at)
-        begin, end = seg.at[:-1][size >= LENGTH], seg.at[1:][size >= LENGTH] - LENGTH + 1
-        np.add.at(step, begin, 1)
-        np.subtract.at(step, end, 1)
-        self.valid = np.cumsum(step)[:n] > 0
-        hashes = gram_hashes(seg.raw, GRAM)
-        self.at = minimizers(hashes, self.valid)
-        self.hash = hashes[self.at]
+        for i, j in zip(seg.at[:-1][size >= LENGTH].tolist(), seg.at[1:][size >= LENGTH].tolist(), strict=True):
+            valid[i : j - LENGTH + 1] = True
+        self.at, self.hash = anchored(seg.raw, valid)
         self.doc = np.searchsorted(seg.at, self.at, "right") - 1
         self.low, self.high = seg.at[self.doc], seg.at[self.doc + 1]
         self.keys, self.order, self.begin = sg.distinct(self.hash)
@@ -287,7 +292,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes)."""
     spark = df.sparkSession
     table, name = sg.pack(df, id_col, text_col)
-    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // 14, 600_000)
+    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // 14, 400_000)
 
     def anchors(seg: sg.Segment):
         b = _Bytes(seg)
