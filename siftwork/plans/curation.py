@@ -101,13 +101,21 @@ def fuzzy_dedup_jaccard(spark, d):
     return D.similar_pairs(word_classes(spark, d), "id", "w", 0.85).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+#: Rows in order, each kept unless one of its earlier pairs is: a recursion that carries the list of the kept.
+GREEDY = "ord as materialized (select id, row_number() over (order by id) rn from nodes), near as materialized (select b, list(a) l from pairs group by 1), step as (select 0::bigint rn, []::{kind}[] kept union all select s.rn + 1, case when n.l is not null and list_has_any(kept, n.l) then kept else list_append(kept, o.id) end from step s join ord o on o.rn = s.rn + 1 left join near n on n.b = o.id), done as (select unnest(kept) id from step where rn = (select max(rn) from ord))"
+
+
+@query(f"with recursive {PAIRS}, nodes as (select id from cls), {GREEDY.format(kind='bigint')} select id from done")
 def fuzzy_dedup_kept(spark, d):
     c = D.written(word_classes(spark, d))
     return D.greedy_kept(c.select("id"), D.similar_pairs(c, "id", "w", 0.85))
 
 
-@query()
+GRAMS = "list_sort(list_distinct(list_transform(range(1, length(lower(substr(body, 1, 500))) - 1), lambda i: substr(lower(substr(body, 1, 500)), i, 3))))"
+GRAM_PAIRS = f"g as materialized (select md5('42|' || doc_id) || '|' || doc_id id, doc_id, {GRAMS} w from labelled where tech = 'OOS'), cls as materialized (select min(id) id, arg_min(doc_id, id) doc_id, w from g group by 3), nodes as (select id from cls), e as materialized (select id, len(w) n, unnest(w) t from cls), pr as (select a.id a, b.id b, count(*) k, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.t = b.t and a.id < b.id group by 1, 2), pairs as materialized (select a, b from pr where k / (na + nb - k) >= 0.7)"
+
+
+@query(L + f", {GRAM_PAIRS}, {GREEDY.format(kind='varchar')} select doc_id from cls join done using (id)")
 def diversity_downsample(spark, d):
     """Of the rows out of scope: those that no earlier kept one resembles (three-grams, 0.7), in shuffled order."""
     from siftwork.operators.sampling import shuffled

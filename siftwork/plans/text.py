@@ -276,7 +276,24 @@ def keyword_contexts(spark, d):
     return jobs(spark, d).where(F.col("jd_text").contains("£")).select("doc_id", F.array_join(X.contexts(F.col("jd_text"), "£", 50), "~").alias("contexts"))
 
 
-@query()
+CUT_JOB = CUT.replace("text", "jd_text")
+ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+HEAD = f"s as materialized (select doc_id, {CUT_JOB} s, list_filter(list_transform(string_split(jd_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') lines from jobs)"
+POINTS = " + ".join(
+    f"case when regexp_matches(c, '{p}') then {n} else 0 end"
+    for p, n in [
+        (r"(?i)£|\bsalary\b|\bper annum\b|\bper day\b", 6),
+        (r"(?i)\blondon\b|\bremote\b|\bhybrid\b|\bon-?site\b|\buk\b", 5),
+        (r"(?i)\bnode|\breact|\btypescript\b|\bjavascript\b|\bmachine learning\b|\bai\b", 4),
+        (r"(?i)\bsenior\b|\blead\b|\bprincipal\b|\bstaff\b|\bjunior\b", 3),
+        (r"(?i)\brequire|\bmust have\b|\bexperience\b", 2),
+        (r"^\s*[-*•]", 1),
+        ("(?i)" + "|".join(X.DROP_FACTS), -8),
+    ]
+) + " - case when length(c) < 20 then 1 else 0 end"
+
+
+@query(J + f", {HEAD} select doc_id, len(p)::int n_chunks, list_max(p) best, list_min(p) worst from (select doc_id, list_transform(case when len(lines) >= 8 then lines else {ORDERED.format('s')} end, lambda c: {POINTS}) p from s) x")
 def chunk_scores(spark, d):
     cs = F.transform(X.chunks(F.col("jd_text")), X.chunk_score)
     return jobs(spark, d).select("doc_id", F.size(cs).alias("n_chunks"), F.array_max(cs).alias("best"), F.array_min(cs).alias("worst"))
@@ -287,7 +304,11 @@ def ranked_extract(spark, d):
     return jobs(spark, d).select("doc_id", X.ranked(F.col("jd_text")).alias("extract"))
 
 
-@query()
+KEEP = "(?i)" + "|".join(f"(?:{p})" for p in X.KEEP_FACTS)
+DROP = "(?i)" + "|".join(X.DROP_FACTS)
+
+
+@query(J + f", {HEAD} select doc_id, array_to_string(list_filter({ORDERED.format('s')}, lambda x: not regexp_matches(x, '{DROP}') and regexp_matches(x, '{KEEP}'))[:28], chr(10)) facts from s")
 def sentence_filter(spark, d):
     return jobs(spark, d).select("doc_id", X.facts(F.col("jd_text")).alias("facts"))
 
