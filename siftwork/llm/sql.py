@@ -54,7 +54,7 @@ from d left join r using (doc_id) left join kept using (doc_id)
 """
 
 #: op10, for pages that mark their article: its blocks, without tags, with references decoded.
-ARTICLES = """
+ARTICLES = r"""
 select page_id, url, t text, length(t)::bigint n_chars from (select page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '<br>', ' '), '</?(?:p|h1)>'),
   lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&quot;', '"'), '&amp;', chr(1)), '&amp', chr(1)), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) t0, replace(t0, chr(1), '&') t from pages) p
 """
