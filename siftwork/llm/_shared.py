@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,10 +47,18 @@ def cleared(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about BATCH_BYTES at most, a single longer row excepted."""
+def released() -> None:
+    """Gives memory that is free in this process back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about so many bytes at most, a single longer row excepted."""
     for b in batches:
-        n = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, BATCH_BYTES))
+        n = max(1, b.num_rows * most // max(b.nbytes, most))
         for i in range(0, b.num_rows, n):
             yield b.slice(i, n)
 

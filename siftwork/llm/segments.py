@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm._shared import U64, buffer_of, only, sliced
+from siftwork.llm._shared import BATCH_BYTES, U64, buffer_of, only, released, sliced
 
 #: Where rows without an id stand in the order of documents: last.
 NO_ID = np.iinfo(np.int64).max
@@ -31,13 +31,13 @@ class Segment:
         self.ids, self.raw, self.at = ids, raw, at
 
 
-def pack(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def pack(df: DataFrame, id_col: str, text_col: str, most: int = BATCH_BYTES) -> tuple[DataFrame, str]:
     """The segments of df as a bucketed table (seg, ids, none, at, blob) in the warehouse, and its name."""
     spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in sliced(batches):
+        for b in sliced(batches, most):
             raw, at = buffer_of(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(object) if b.column(0).null_count else b.column(0).to_numpy()
             ids = np.array([NO_ID if x is None or x != x else int(x) for x in ids], np.int64) if ids.dtype == object else ids.astype(np.int64)
@@ -102,12 +102,17 @@ def ask(table: DataFrame, question: Callable[[Segment], tuple[np.ndarray, list[n
                 if len(full):
                     spans = [(cuts[s], cuts[s + 1]) for s in full.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([b.column("seg")[k].as_py()] * len(full), pa.int64()), *[pa.array([planes(c[x:y]) for x, y in spans], pa.binary()) for c in columns]], names=["shard", "seg", *names])
+                del keys, columns
+                released()
 
     names = [f"c{i}" for i in range(len(kinds))]
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         held = [[unplaned(row[i + 2], kind) for i, kind in enumerate(kinds)] for row in rows[["shard", "seg", *names]].itertuples(index=False, name=None)]
-        return pd.DataFrame({"seg": rows["seg"], "shard": rows["shard"], "bits": [np.packbits(x).tobytes() for x in compare(held)]})
+        out = pd.DataFrame({"seg": rows["seg"], "shard": rows["shard"], "bits": [np.packbits(x).tobytes() for x in compare(held)]})
+        del held
+        released()
+        return out
 
     sent = source.mapInArrow(send, "shard int, seg long, " + ", ".join(f"{n} binary" for n in names))
     return sent.groupBy("shard").applyInPandas(meet, "seg long, shard int, bits binary")

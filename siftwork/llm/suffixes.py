@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import segments as sg
-from siftwork.llm._shared import _BYTE, U64, mix, powers, settled
+from siftwork.llm._shared import _BYTE, U64, mix, powers, released, settled
 
 LENGTH, GRAM = 50, 24
 #: Strings of LENGTH around one gram, and the bytes that they cover.
@@ -121,14 +121,10 @@ class _Covers:
     def __init__(self, b: _Bytes, live: np.ndarray):
         at, low, high = b.at[live], b.low[live], b.high[live]
         self.first = at - (STRINGS - 1)
-        text = np.full((len(at), COVER), BEYOND, np.uint8)
         names = np.zeros(len(at), U64)
-        for j in range(COVER):  # by columns, so no table of places is held
-            place = self.first + j
-            inside = (place >= low) & (place < high)
-            text[inside, j] = b.raw[place[inside]]
+        for byte in _columns(b.raw, self.first, low, high):  # by columns, so no table of places is held
             with np.errstate(over="ignore"):
-                names = names * U64(_BASE) + _BYTE[text[:, j]]
+                names = names * U64(_BASE) + _BYTE[byte]
         names = mix(names)
         self.doc = b.ids[b.doc[live]]
         self.order = np.lexsort((self.doc, names, b.hash[live]))
@@ -136,8 +132,25 @@ class _Covers:
         self.begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])) if len(k) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.begin, len(k)))
         self.keys = k[self.begin]
-        self.least = self.doc[self.order][self.begin]
-        self.text = np.ascontiguousarray(text[self.order][self.begin]).view(f"V{COVER}").reshape(-1)
+        kept = self.order[self.begin]
+        self.least = self.doc[kept]
+        self.kept = (b.raw, self.first[kept], low[kept], high[kept])
+
+    def text(self) -> np.ndarray:
+        out = np.empty((len(self.keys), COVER), np.uint8)
+        for j, byte in enumerate(_columns(*self.kept)):
+            out[:, j] = byte
+        return out.view(f"V{COVER}").reshape(-1)
+
+
+def _columns(raw: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes at each column of covers that begin at first, BEYOND outside [low, high)."""
+    for j in range(COVER):
+        place = first + j
+        inside = (place >= low) & (place < high)
+        byte = np.full(len(first), BEYOND, np.uint8)
+        byte[inside] = raw[place[inside]]
+        yield byte
 
 
 class Queue:
@@ -194,19 +207,19 @@ class Queue:
 
 def _range_least(values: np.ndarray):
     """A function to the least of values[i..j], both ends included, for arrays of i and j."""
-    levels = [values]
-    while 2 * (1 << (len(levels) - 1)) <= len(values):
-        w = 1 << (len(levels) - 1)
-        levels.append(np.minimum(levels[-1][:-w], levels[-1][w:]))
+    n = len(values)
+    depth = n.bit_length()
+    levels = np.empty((depth, n), values.dtype)
+    levels[0] = values
+    for k in range(1, depth):
+        w = 1 << (k - 1)
+        np.minimum(levels[k - 1, :-w], levels[k - 1, w:], out=levels[k, :-w])
+    flat = levels.reshape(-1)
 
     def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        k = np.frexp((j - i + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(i), values.dtype)
-        for level in np.unique(k).tolist():
-            m = k == level
-            t = levels[level]
-            out[m] = np.minimum(t[i[m]], t[j[m] - (1 << level) + 1])
-        return out
+        k = np.frexp((j - i + 1).astype(np.float32))[1].astype(np.int64) - 1
+        base = k * n
+        return np.minimum(flat[base + i], flat[base + j + 1 - (np.int64(1) << k)])
 
     return least
 
@@ -291,7 +304,7 @@ def _meet(held: list[list[np.ndarray]]) -> list[np.ndarray]:
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes)."""
     spark = df.sparkSession
-    table, name = sg.pack(df, id_col, text_col)
+    table, name = sg.pack(df, id_col, text_col, 2 << 20)
     shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // 14, 400_000)
 
     def anchors(seg: sg.Segment):
@@ -303,7 +316,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     def covers(seg: sg.Segment, bits):
         b = _Bytes(seg)
         c = _Covers(b, b.live(bits(b.keys, shards)))
-        return c.keys, [c.text, c.least]
+        return c.keys, [c.text(), c.least]
 
     shared = settled(sg.ask(table, covers, shards, _meet, [f"V{COVER}", np.int64], found))
     both = sg.answered(sg.answered(table, found).withColumnRenamed("answers", "found"), shared)
@@ -316,6 +329,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
                 live = b.live(sg.bits_of(batch.select(["found"]).rename_columns(["answers"]), k)(b.keys, shards))
                 c = _Covers(b, live)
                 gone = _gone(b, c, live, sg.bits_of(batch, k)(c.keys, shards, STRINGS))
+                del b, c, live
                 none = set(np.frombuffer(batch.column("none")[k].as_py(), np.int32).tolist())
                 out = []
                 for d, (i, j) in enumerate(zip(seg.at[:-1].tolist(), seg.at[1:].tolist(), strict=True)):
@@ -328,6 +342,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                     arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays[: 6 if texts else 5], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
+                released()
 
     out = settled(both.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if texts else ''}"))
     sg.dropped(spark, name)
