@@ -11,8 +11,9 @@ and returns a forest of links rather than pairs. No cap, no pair list: links are
 
 Documents of one set are one class, represented by its smallest id; only representatives are banded and verified. Nulls
 and texts without words have empty sets and link with nothing; fewer than four words are one shingle, the whole sequence.
-Rows of one id are one document. A row without an id is linked and never kept if its class has an id. Other columns are
-ignored; empty tables give empty results.
+Rows of one id are one document. Each row without an id is a document of its own, banded and linked as others are, under
+an internal key made of its text that sorts after every id. near_groups() marks no such row as kept, as nothing names it;
+deduplicated() keeps one of each group that has no id. Other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm._shared import U64, buffer_of, cleared, components, mapped, mix, only, rolled, settled, sliced, whole_runs, words_of
@@ -187,19 +188,18 @@ def _verified(percent: int, width: int, kind: pa.DataType):
     return run
 
 
-def near_groups(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row of df: id, n_shingles, component_id (the smallest id that its links reach) and kept."""
-    docs = only(df, id_col, text_col, text=text_col).toDF("id", "text")
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """For every row of docs (id, text), no id null: id, n_shingles and component, the smallest id that its links reach."""
     sig = settled(signed(docs, width))
     classes = settled(sig.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep")))
     members = settled(sig.join(classes, ["k1", "k2", "n_shingles"], "left").select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
-    cleared(df.sparkSession, sig, classes)
+    cleared(docs.sparkSession, sig, classes)
 
     banded = members.where("bands is not null").select("rep", F.explode("bands").alias("band"))
     shared = settled(banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least"))
     stars = banded.join(shared, "band").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     nodes = settled(components(stars).join(members.where("bands is not null").select(F.col("rep").alias("node"), "n_shingles").distinct(), "node"))
-    cleared(df.sparkSession, shared)
+    cleared(docs.sparkSession, shared)
 
     stats = settled(nodes.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
     rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.col("n") / 16))
@@ -217,11 +217,49 @@ def near_groups(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col:
     found = components(tasks.mapInArrow(_verified(percent, width, kind), f"a {said}, b {said}"))
     labels = settled(found.select(F.col("node").alias("rep"), "label"))
     out = members.select("id", "n_shingles", "rep").join(labels, "rep", "left")
-    component = F.coalesce("label", "rep", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select("id", "n_shingles", F.coalesce("label", "rep", "id").alias("component"))
+
+
+def _key(id_: Column, text: Column) -> Column:
+    """Names a document where some have no id: those sort last, and equal texts share a key."""
+    return F.struct(id_.isNull().alias("none"), id_.alias("id"), F.when(id_.isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).alias("name"))
+
+
+def _without_id(df: DataFrame, id_col: str) -> bool:
+    return not df.where(F.col(id_col).isNull()).select(F.lit(1)).isEmpty()
+
+
+def _keyed_groups(df: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """_grouped() by key: a row for every row with an id, and for every distinct text of those without."""
+    docs = only(df, id_col, text_col, text=text_col).toDF("id", "text").select(_key(F.col("id"), F.col("text")).alias("id"), "text")
+    alone = docs.where("id.none").groupBy("id").agg(F.first("text").alias("text"))
+    return _grouped(docs.where("not id.none").unionByName(alone), percent, width)
+
+
+def near_groups(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of df: id, n_shingles, component_id (the smallest id that its links reach, null if none) and kept."""
+    if not _without_id(df, id_col):
+        got = _grouped(only(df, id_col, text_col, text=text_col).toDF("id", "text"), percent, width)
+        return got.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    got = settled(_keyed_groups(df, percent, width, id_col, text_col))
+    times = df.where(F.col(id_col).isNull()).groupBy(_key(F.col(id_col), F.col(text_col)).alias("id")).agg(F.count("*").alias("n"))
+    alone = got.where("id.none").join(times, "id").select("id", "n_shingles", "component", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
+    every = got.where("not id.none").unionByName(alone)
+    kept = ~F.col("id.none") & (F.col("id") == F.col("component"))
+    return every.select(F.col("id.id").alias(id_col), "n_shingles", F.col("component.id").alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, columns as they came: the row of the group's smallest id."""
-    kept = near_groups(df, percent, width, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept"))
-    return df.join(kept.distinct(), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """One row of each group, columns as they came: the row of the group's smallest id, or of one of its texts if it has none."""
+    if not _without_id(df, id_col):
+        kept = near_groups(df, percent, width, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept"))
+        return df.join(kept.distinct(), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = settled(_keyed_groups(df, percent, width, id_col, text_col).where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept")).distinct())
+    named = df.where(F.col(id_col).isNotNull()).join(kept.where("not _kept.none").select("_kept.id"), F.col(id_col) == F.col("id"), "left_semi").dropDuplicates([id_col])
+    # rows without an id and without words are of no group, and all stay; of rows of one text, the least hash stays
+    words = F.coalesce(F.rlike(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
+    alone = df.where(F.col(id_col).isNull())
+    row = F.struct(*[F.col(c) for c in df.columns])
+    texts = alone.where(words).groupBy(_key(F.col(id_col), F.col(text_col)).alias("_key")).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
+    texts = texts.join(kept.where("_kept.none"), F.col("_key") == F.col("_kept"), "left_semi").select("_row.*")
+    return named.unionByName(texts).unionByName(alone.where(~words))

@@ -84,6 +84,34 @@ def test_near_groups_of_rows_without_ids_repeated_rows_and_none(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
+def test_rows_without_ids_are_deduplicated_among_themselves(spark):
+    w = [prose(60).split() for _ in range(4)]
+    near = lambda k, at: " ".join([*w[k][:at], "zzz", *w[k][at + 1 :]])
+    full = [" ".join(x) for x in w]
+    rows = [(5, full[0], "a"), (3, near(0, 59), "b"), (None, near(0, 0), "c")]  # 5 and 3 are near, and so is the third
+    rows += [(None, full[1], "d"), (None, full[1], "d"), (None, near(1, 0), "e"), (None, full[2], "f"), (9, full[3], "g")]
+    rows += [(None, None, "h"), (None, "", "i"), (None, " ", "j"), (None, " ", "j"), (4, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = minhash.deduplicated(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), r.source) for r in out.collect())
+    group = [x for x in got if x[1] in "de"]
+    assert len(group) == 1
+    assert sorted(set(got) - set(group)) == [("3", "b"), ("4", "k"), ("9", "g"), ("None", "f"), ("None", "h"), ("None", "i"), ("None", "j")]
+    assert got.count(("None", "j")) == 2 and len(got) == 9
+    groups = minhash.near_groups(df).collect()
+    assert len(groups) == len(rows) and sum(r.component_id == 3 for r in groups) == 3
+    assert all(r.kept == (r.doc_id in (3, 4, 9)) for r in groups)
+
+
+def test_a_row_without_an_id_links_two_rows_with_one(spark):
+    w = prose(100).split()
+    change = lambda *at: " ".join("zzz" if k in at else x for k, x in enumerate(w))
+    df = spark.createDataFrame([(1, change(0, 20)), (None, " ".join(w)), (2, change(50, 80))], "doc_id long, text string")
+    assert [r.component_id for r in minhash.near_groups(df).collect()] == [1, 1, 1]
+    assert [r.doc_id for r in minhash.deduplicated(df).collect()] == [1]
+
+
 def word_repeats(rows, window=20):
     first, out = {}, {}
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
