@@ -81,9 +81,9 @@ def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> int | No
     return held
 
 
-def _rounded(seed: int, level: int, last: bool):
-    """Rounds one block. The last block of a source draws anew, up to DRAWS times, until the fraction that is left over
-    is worth less than a thousandth of the block's words."""
+def _rounded(seed: int, level: int):
+    """Rounds one block, drawing anew, up to DRAWS times, until the fraction that is left over is worth less than a
+    thousandth of the block's words. Every block does, so a source's draws depend on no other source and no size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tie = mixed_bits(rows["h"].to_numpy(np.int64).astype(np.uint64))
@@ -92,7 +92,7 @@ def _rounded(seed: int, level: int, last: bool):
         size, given = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
         rng = np.random.default_rng([seed, level, len(rows), *(int(x) & 0xFFFFFFFF for x in rows["h"].to_numpy()[:2])])
         best = None
-        for _ in range(DRAWS if last else 1):
+        for _ in range(DRAWS):
             p = given.copy()
             held = pivot(size, p, rng)
             off = 0.0 if held is None else min(p[held], 1 - p[held]) * size[held]
@@ -131,7 +131,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     most = goal.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     blocks, level, done, now = -(-most // BLOCK), 0, [], rows
     while True:
-        out = settled(now.groupBy("source", "block").applyInPandas(_rounded(seed, level, blocks <= 1), schema))
+        out = settled(now.groupBy("source", "block").applyInPandas(_rounded(seed, level), schema))
         done.append(out.where("not left"))
         if blocks <= 1:
             break

@@ -184,6 +184,17 @@ def test_residuals_meet_in_a_tree(spark, monkeypatch):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 19
 
 
+def test_small_sources_beside_a_hot_one_come_near_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 256)
+    rows = [(i, "w " * (10 + i % 23), f"s{i % 8}") for i in range(1600)] + [(2000 + k, "w " * 300, f"s{k}") for k in range(8)]
+    rows += [(3000 + i, "w " * (10 + i % 23), "z") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.digest(df).groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect()
+    assert len(got) == 9
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= r["max(source_size)"] / 1000 + 1, r
+
+
 def test_mix_repeats_rows(corpus):
     out = mixing.mix(corpus)
     assert out.columns == corpus.columns
