@@ -237,6 +237,13 @@ def variant_grid(spark, d):
     return lab(spark, d).where("doc_id % 10 = 0").select("*", v).select("variant", "doc_id", F.concat("variant", F.lit(": "), "title").alias("said"))
 
 
+@query(L + "select v.v variant, doc_id, v.v || ': ' || title said from labelled cross join (values ('vague'), ('short'), ('formal'), ('misleading')) v(v)")
+def variant_grid_all(spark, d):
+    """The grid over every row; variant_grid, whose SQL is given, keeps to a tenth of them."""
+    v = F.explode(F.array(*[F.lit(x) for x in ("vague", "short", "formal", "misleading")])).alias("variant")
+    return lab(spark, d).select("*", v).select("variant", "doc_id", F.concat("variant", F.lit(": "), "title").alias("said"))
+
+
 @query(ctes("labelled", "targets") + ", counts as (select 'loc' field, loc token, count(*) n from labelled group by 2 union all select 'comp', comp, count(*) from labelled group by 2) select field, token, target - coalesce(n, 0) need from targets left join counts using (field, token) where field in ('loc', 'comp') and target > coalesce(n, 0)")
 def gap_specs(spark, d):
     from siftwork.plans.curation import gap_report

@@ -172,6 +172,12 @@ def min_length_and_range(spark, d):
     return jobs(spark, d).where("length(trim(body)) >= 30 and job_id <> '' and line_no between 10 and 500").select("doc_id")
 
 
+@query(J + "select doc_id from jobs where length(trim(body)) >= 30 and job_id <> ''")
+def min_length(spark, d):
+    """The minimum length over the whole table, apart from the row range."""
+    return jobs(spark, d).where("length(trim(body)) >= 30 and job_id <> ''").select("doc_id")
+
+
 @query(L + "select doc_id from labelled where loc in ('IN_LONDON', 'REMOTE', 'UK_OTHER') and sen in ('LEVEL_3', 'LEVEL_2') and tech <> ''")
 def domain_filter(spark, d):
     return lab(spark, d).where(F.col("loc").isin("IN_LONDON", "REMOTE", "UK_OTHER") & F.col("sen").isin("LEVEL_3", "LEVEL_2") & (F.size(F.split("tech", ",")) > 0)).select("doc_id")
