@@ -174,43 +174,53 @@ def v12_corrections(spark, d):
     return rows.select("doc_id", c("nc").alias("comp"), s["score"].alias("score"), s["label"].alias("label"), (c("nc") != c("comp")).alias("corrected"))
 
 
-@query()
-def gap_greedy_select(spark, d):
-    """Rows that fill gaps to target marginals best. Token combinations, a bounded table, are chosen greedily on the driver
-    with how many rows to take of each; rows take part through a rank within their combination."""
-    goals = {(r.field, r.token): r.target // 10 for r in table(spark, d, "targets").collect()}
-    rows = lab(spark, d)
-    fields = ["loc", "arr", "sen", "comp"]
-    left = {tuple(r[f] for f in fields): r["n"] for r in rows.groupBy(*fields).agg(F.count("*").alias("n")).collect()}
-    have = dict.fromkeys(goals, 0)
+GAPS = ["loc", "arr", "sen", "comp"]
+
+
+def gap_quota(counts: dict[tuple, int], goals: dict[tuple[str, str], int], total: int) -> dict[tuple, int]:
+    """How many rows of each token combination (GAPS) the greedy takes: the best gain first, ties by combination, until total
+    rows are taken or the best gain is -50 or less."""
+    left = dict(sorted(counts.items()))
+    have: dict[tuple[str, str], int] = {}
     quota: dict[tuple, int] = {}
 
     def gain(combo: tuple) -> float:
-        total, hard = 0.0, 0
-        for f, t in zip(fields, combo, strict=True):
+        score, hard = 0.0, 0
+        for f, t in zip(GAPS, combo, strict=True):
             gap = goals.get((f, t), 0) - have.get((f, t), 0)
             if f in ("loc", "comp"):
-                total += gap * (1 + gap / max(goals.get((f, t), 0), 1)) if gap > 0 else -(30 + 3 * abs(gap))
+                score += gap * (1 + gap / max(goals.get((f, t), 0), 1)) if gap > 0 else -(30 + 3 * abs(gap))
                 hard += gap <= 0
             else:
-                total += 0.5 * gap if gap > 0 else -5
-        return total - 150 * (hard >= 3)
+                score += 0.5 * gap if gap > 0 else -5
+        return score - 150 * (hard >= 3)
 
-    while left:
-        best = max(sorted(left), key=gain)
+    while left and sum(quota.values()) < total:
+        best = max(left, key=gain)
         if gain(best) <= -50:
             break
         quota[best] = quota.get(best, 0) + 1
         left[best] -= 1
         if not left[best]:
             del left[best]
-        for f, t in zip(fields, best, strict=True):
+        for f, t in zip(GAPS, best, strict=True):
             have[f, t] = have.get((f, t), 0) + 1
+    return quota
+
+
+@query()
+def gap_greedy_select(spark, d, total_target=1200):
+    """Rows that fill gaps to the full target marginals best, total_target at most as in the reference. Token combinations,
+    a bounded table, are chosen greedily on the driver with how many rows to take of each; rows take part through a rank
+    within their combination."""
+    goals = {(r.field, r.token): r.target for r in table(spark, d, "targets").collect()}
+    rows = lab(spark, d)
+    quota = gap_quota({tuple(r[f] for f in GAPS): r["n"] for r in rows.groupBy(*GAPS).agg(F.count("*").alias("n")).collect()}, goals, total_target)
     if not quota:
-        return rows.limit(0).select("doc_id", *fields)
+        return rows.limit(0).select("doc_id", *GAPS)
     plan = spark.createDataFrame([(*k, v) for k, v in quota.items()], "loc string, arr string, sen string, comp string, quota int")
-    r = S.ranked(rows, fields, S.shuffled(42, "doc_id"))
-    return r.join(F.broadcast(plan), fields).where("rn <= quota").select("doc_id", *fields)
+    r = S.ranked(rows, GAPS, S.shuffled(42, "doc_id"))
+    return r.join(F.broadcast(plan), GAPS).where("rn <= quota").select("doc_id", *GAPS)
 
 
 @query()

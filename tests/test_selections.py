@@ -1,12 +1,51 @@
 """Selections that have no SQL, against plain versions."""
 
-from siftwork.plans import catalog
+from siftwork.plans import catalog, sampling
 from siftwork.plans.fixtures import table
 
 SF = "/root/testdata/sf0.001"
 catalog.load()
 
 
+def plain_gaps(rows, goals, total):
+    """The reference's loop: every row left is scored at each step."""
+    fields, have, out, left = ["loc", "arr", "sen", "comp"], {}, {}, sorted(rows)
+    while left and sum(out.values()) < total:
+        scored = []
+        for r in left:
+            score, hard = 0.0, 0
+            for f, t in zip(fields, r, strict=True):
+                target = goals.get((f, t), 0)
+                gap = target - have.get((f, t), 0)
+                if f in ("loc", "comp"):
+                    if gap > 0:
+                        score += gap * (1 + gap / max(target, 1))
+                    else:
+                        score -= 30 + abs(gap) * 3
+                        hard += 1
+                else:
+                    score += gap * 0.5 if gap > 0 else -5
+            scored.append(score - (150 if hard >= 3 else 0))
+        best = max(scored)
+        if best <= -50:
+            break
+        r = left.pop(scored.index(best))
+        out[r] = out.get(r, 0) + 1
+        for f, t in zip(fields, r, strict=True):
+            have[f, t] = have.get((f, t), 0) + 1
+    return out
+
+
+def test_gaps_are_filled_to_the_full_targets(spark):
+    goals = {(r.field, r.token): r.target for r in table(spark, SF, "targets").collect()}
+    rows = [tuple(r) for r in table(spark, SF, "labelled").select("loc", "arr", "sen", "comp").collect()]
+    for total in (20, 1200):
+        got = {}
+        for r in sampling.gap_greedy_select(spark, SF, total).collect():
+            got[tuple(r)[1:]] = got.get(tuple(r)[1:], 0) + 1
+        assert got == plain_gaps(rows, goals, total)
+
+
 def test_whole_tables_are_taken(spark):
     n = table(spark, SF, "labelled").count()
     assert catalog.QUERIES["variant_grid_all"](spark, SF).count() == 4 * n
