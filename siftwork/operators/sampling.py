@@ -85,3 +85,42 @@ def oversampled(df: DataFrame, by: str, goal: int, *order: Column) -> DataFrame:
 def capped(df: DataFrame, by: str, caps: dict[str, int], default: int, *order: Column) -> DataFrame:
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(by)), F.lit(default)) if caps else F.lit(default)
     return ranked(df, [by], *order, name="_rn").where(F.col("_rn") <= cap).drop("_rn")
+
+
+def coupled(df: DataFrame, room: dict[str, dict[str, int]], key: Column) -> DataFrame:
+    """The rows that one pass in order of key, unique hex digits, takes: those whose capped tokens all have room left. Only
+    rows taken use room; tokens that room[column] does not name are free.
+
+    A token that is full stays full, so the pass comes down to a last key for each. The driver sees counts by combination
+    and the key's first two digits, and the rows of a slice in which a token gets full: no more slices than capped tokens.
+    """
+    fields = list(room)
+    keyed = df.select(*fields, key.alias("_k"))
+    left = {(f, t): n for f in fields for t, n in room[f].items()}
+    last = {x: "" for x, n in left.items() if n <= 0}
+    slices: dict[str, list[tuple[tuple, int]]] = {}
+    for r in keyed.groupBy(F.substring("_k", 1, 2).alias("_s"), *fields).agg(F.count("*").alias("_n")).collect():
+        slices.setdefault(r["_s"], []).append(([(f, r[f]) for f in fields], r["_n"]))
+    for s in sorted(slices):
+        need: dict[tuple, int] = {}
+        for tokens, n in slices[s]:
+            if not any(x in last for x in tokens):
+                for x in tokens:
+                    need[x] = need.get(x, 0) + n
+        if all(n < left[x] for x, n in need.items() if x in left):
+            for x, n in need.items():
+                if x in left:
+                    left[x] -= n
+            continue
+        for r in sorted(keyed.where(F.col("_k").startswith(s)).collect(), key=lambda r: r["_k"]):
+            tokens = [(f, r[f]) for f in fields]
+            if any(x in last for x in tokens):
+                continue
+            for x in tokens:
+                if x in left:
+                    left[x] -= 1
+                    if not left[x]:
+                        last[x] = r["_k"]
+    for (f, t), k in last.items():
+        df = df.where(~F.col(f).eqNullSafe(F.lit(t)) | (key <= k))
+    return df

@@ -223,9 +223,17 @@ def gap_greedy_select(spark, d, total_target=1200):
     return r.join(F.broadcast(plan), GAPS).where("rn <= quota").select("doc_id", *GAPS)
 
 
+#: V11's caps as shares of the total.
+CAPS = {
+    "loc": {"OUTSIDE_UK": 0.2, "UNK": 0.08},
+    "comp": {"NO_GBP": 0.15, "BELOW_45K": 0.18, "RANGE_55_74K": 0.35, "RANGE_75_99K": 0.35, "ABOVE_100K": 0.18},
+}
+
+
 @query()
 def v11_build(spark, d):
-    """Targets of 30 / 30 / 40 per cent by label with deficits handed on, then caps on location and pay in shuffled order."""
+    """Targets of 30 / 30 / 40 per cent by label with deficits handed on, then one pass in shuffled order that takes a row
+    if its label, location and pay all have room; only rows taken use room."""
     rows = lab(spark, d)
     sizes = S.sizes_of(rows, "label", ORDER)
     total = sum(sizes.values()) // 2
@@ -238,11 +246,8 @@ def v11_build(spark, d):
             goal[k] += 1
             short -= 1
         i += 1
-    k = S.shuffled(42, "doc_id")
-    cap = lambda share: max(1, int(total * share))
-    by_loc = S.capped(rows, "loc", {"OUTSIDE_UK": cap(0.2), "UNK": cap(0.08)}, 1 << 30, k)
-    by_pay = S.capped(by_loc, "comp", {"NO_GBP": cap(0.15), "BELOW_45K": cap(0.18), "RANGE_55_74K": cap(0.35), "RANGE_75_99K": cap(0.35), "ABOVE_100K": cap(0.18)}, 1 << 30, k)
-    return S.take(by_pay, "label", goal, k).select("doc_id", "label")
+    room = {"label": goal} | {f: {t: int(total * share) for t, share in of.items()} for f, of in CAPS.items()}
+    return S.coupled(rows.where(F.col("label").isin(ORDER)), room, S.shuffled(42, "doc_id")).select("doc_id", "label")
 
 
 J = ctes("jobs")

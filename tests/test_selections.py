@@ -1,5 +1,9 @@
 """Selections that have no SQL, against plain versions."""
 
+import hashlib
+import random
+
+from siftwork.operators import sampling as S
 from siftwork.plans import catalog, sampling
 from siftwork.plans.fixtures import table
 
@@ -46,8 +50,42 @@ def test_gaps_are_filled_to_the_full_targets(spark):
         assert got == plain_gaps(rows, goals, total)
 
 
+def test_caps_count_only_rows_that_are_taken(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("xy"), rng.choice(["a", "b", None]), rng.choice("pqr")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, loc string, comp string").repartition(3)
+    room = {"label": {"x": 500, "y": 300}, "loc": {"a": 210, "b": 0}, "comp": {"p": 150, "q": 90}}
+    left, want = {(f, t): n for f in room for t, n in room[f].items()}, []
+    for i, *tokens in sorted(rows, key=lambda r: hashlib.md5(f"42|{r[0]}".encode()).hexdigest()):
+        at = [x for x in zip(room, tokens, strict=True) if x in left]
+        if all(left[x] > 0 for x in at):
+            want.append(i)
+            for x in at:
+                left[x] -= 1
+    got = [r.doc_id for r in S.coupled(df, room, S.shuffled(42, "doc_id")).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 300
+
+
 def test_whole_tables_are_taken(spark):
     n = table(spark, SF, "labelled").count()
     assert catalog.QUERIES["variant_grid_all"](spark, SF).count() == 4 * n
     jobs = table(spark, SF, "jobs")
     assert catalog.QUERIES["min_length"](spark, SF).count() == jobs.where("length(trim(body)) >= 30 and job_id <> ''").count()
+
+
+def test_v11_build_is_one_coupled_pass(spark):
+    rows = table(spark, SF, "labelled").select("doc_id", "label", "loc", "comp").collect()
+    got = sampling.v11_build(spark, SF).collect()
+    total = len(rows) // 2
+    picked = {r.doc_id for r in got}
+    caps = {t: int(total * share) for of in sampling.CAPS.values() for t, share in of.items()}
+    size = {k: sum(r.label == k for r in got) for k in sampling.ORDER}
+    used = {}
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"42|{r.doc_id}".encode()).hexdigest()):
+        room = all(t not in caps or used.get(t, 0) < caps[t] for t in (r.loc, r.comp))
+        if r.doc_id in picked:
+            assert room
+            for t in (r.label, r.loc, r.comp):
+                used[t] = used.get(t, 0) + 1
+        else:  # a row that its caps let through is refused only once its label is full
+            assert not room or used.get(r.label, 0) == size[r.label]
