@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +27,73 @@ def only(df: DataFrame, *cols: str, text: str | None = None) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == text else F.col(c) for c in cols])
 
 
+_left: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A fresh path under the folder that the cluster shares. The setting is read from the session; where it is unset, as in tests, /tmp serves."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh path under the folder that the cluster shares, spark.checkpoint.dir. Where it is unset, a local session (as
+    in tests) gets one of its own; a cluster's executors share no other folder, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back: its lineage is cut, and losing executors loses none of it."""
-    path = scratch(df.sparkSession)
+    """df written once as a table in the shared folder and read back: its lineage is cut, and losing executors loses none of
+    it. cleared() deletes it; what is left at the end of the session, results that were still to be read, goes then."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    _left.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cleared(spark: SparkSession, *frames: DataFrame) -> None:
     """Drops tables that settled() wrote, once nothing that is still to run reads them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    known = {path.rsplit("/", 1)[1]: k for k, (_, path) in enumerate(_left)}
+    gone = set()
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            k = known.get(folder.rsplit("/", 1)[1])
+            if k is not None:
+                _delete(spark, _left[k][1])
+                gone.add(k)
+    _left[:] = [x for k, x in enumerate(_left) if k not in gone]
+
+
+@contextmanager
+def scratched(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """settled, whose tables all go at the end of the block, failed or not."""
+    own: list[str] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        before = len(_left)
+        out = settled(df)
+        own.extend(path for _, path in _left[before:])
+        return out
+
+    try:
+        yield write
+    finally:
+        for path in own:
+            if any(path == p for _, p in _left):
+                _delete(spark, path)
+        _left[:] = [x for x in _left if x[1] not in own]
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark, path in _left:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
 
 def released() -> None:
@@ -183,31 +232,33 @@ def whole_runs(first: np.ndarray, width: int, n: int) -> np.ndarray:
     return ok
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node that each node of the edges (a, b) reaches. Large-star and small-star, alternating.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of the edges (a, b) reaches. Large-star and small-star, alternating
+    until a round changes nothing, however many it takes. The result is a settled table.
 
     A node's least neighbour is a partial aggregate, written before it is joined with the node's edges: both sides of the
     join are then shuffled for it, and a hub's edges can be split among tasks. Every round is written to the shared folder.
     Self-links and nulls are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
-    now = settled(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        cleared(spark, now, least)
-        # each node's smaller neighbours and the node itself point to the smallest of them
-        down = settled(large.groupBy("u").agg(F.min("v").alias("m")))
-        now = settled(large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        cleared(spark, large, down)
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
-    ends = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")))
-    return ends.groupBy("node").agg(F.min("label").alias("label"))
+    with scratched(spark) as keep:
+        now = keep(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        mark = None
+        while True:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            cleared(spark, now, least)
+            # each node's smaller neighbours and the node itself point to the smallest of them
+            down = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+            now = keep(large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            cleared(spark, large, down)
+            found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if found == mark:
+                break
+            mark = found
+        ends = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")))
+        return settled(ends.groupBy("node").agg(F.min("label").alias("label")))
 
 
 def _count_below(bounds: list, key) -> F.Column:
@@ -222,19 +273,25 @@ def _count_below(bounds: list, key) -> F.Column:
     return F.when(key.isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * g + fine)
 
 
-def sorted_slices(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """rows in contiguous slices by their column key (nulls first), each slice in order within one partition and with its
-    neighbours at its ends: columns slice and edge before those of rows. edge is -1 for the last rows before the slice,
-    0 for its own and 1 for the first rows after it; the table is a ring, so the last slice is followed by the first.
-    Rows of one key share a slice.
+#: Bytes of a slice, about.
+SLICE = 32 << 20
+
+
+def sorted_slices(rows: DataFrame, text: str, n: int | None = None) -> DataFrame:
+    """rows in contiguous slices by their column key (nulls first, rows of one key by text), each slice in order within one
+    partition and with its neighbours at its ends: columns slice and edge before those of rows. edge is -1 for the last
+    rows before the slice, 0 for its own and 1 for the first rows after it; the table is a ring, so the last slice is
+    followed by the first. Rows of one key share a slice.
 
-    The borders come from a sample of about 50 keys a slice; they move rows between tasks and no result. The driver sees
-    those keys and two more for each slice, and there are a few slices for each shuffle partition.
+    Slices hold about SLICE bytes of text, so there are as many as the data need, and a task has one or a few. The borders
+    come from a sample of about 50 keys a slice; they move rows between tasks and no result. The driver sees those keys and
+    two more for each slice.
     """
     spark = rows.sparkSession
-    n = n or 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     keys = rows.select("key")
-    total = keys.count()
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = n or max(2 * least, -(-size // SLICE))
     every = max(1, total // (50 * n))
     some = sorted(r.key for r in keys.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)).distinct().collect())
     bounds = sorted({some[k * len(some) // n] for k in range(1, n)}) if len(some) > 1 else []
@@ -256,4 +313,4 @@ def sorted_slices(rows: DataFrame, n: int | None = None) -> DataFrame:
     if None in moved:
         also = F.when(F.col("key").isNull(), place(moved[None])).otherwise(also)
     places = F.concat(F.array(F.struct(own.cast("int").alias("slice"), F.lit(0).alias("edge"))).cast(kind), also)
-    return rows.select(F.explode(places).alias("_p"), "*").select("_p.slice", "_p.edge", *rows.columns).repartition("slice").sortWithinPartitions("slice", "edge", "key")
+    return rows.select(F.explode(places).alias("_p"), "*").select("_p.slice", "_p.edge", *rows.columns).repartition(max(least, -(-size // (2 * SLICE))), "slice").sortWithinPartitions("slice", "edge", "key", text)

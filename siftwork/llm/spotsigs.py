@@ -5,9 +5,10 @@ content words after the one before; a text's fingerprint is its set of signature
 near_pairs() deals sets out by length, so that only lengths that can reach the threshold meet, and prunes inside a
 partition by prefixes of rare signatures before it counts.
 
-A text without any signature has one signature, of its whole text, so equal texts have equal fingerprints and different
-ones nothing in common. A null text is empty. Rows repeat as they come; rows without an id sort first; other columns are
-ignored; an empty table gives an empty result.
+A text without any signature has the four 32-bit parts of its whole text's digest, 128 bits, so equal texts have equal
+fingerprints and different ones nothing in common. A null text is empty. Rows repeat as they come. The order of documents
+is by id, rows without one first; rows of one id go by a digest of their text, so reruns agree, and equal rows follow one
+another. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.llm._shared import only, settled, sliced, sorted_slices
 
@@ -45,9 +47,9 @@ def signatures(text: str, chain: int = CHAIN, distance: int = DISTANCE) -> np.nd
         else:
             content.append(w)
     reach = (chain - 1) * distance + 1
-    hashed = lambda s: int.from_bytes(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4], "big")
-    out = {hashed(" ".join([w, *content[k : k + reach : distance]])) for w, k in follows if k + reach <= len(content)}
-    return np.array(sorted(out or {hashed(text)}), np.uint32)
+    digest = lambda s: hashlib.md5(s.encode(), usedforsecurity=False).digest()
+    out = {int.from_bytes(digest(" ".join([w, *content[k : k + reach : distance]]))[:4], "big") for w, k in follows if k + reach <= len(content)}
+    return np.array(sorted(out), np.uint32) if out else np.unique(np.frombuffer(digest(text), ">u4").astype(np.uint32))
 
 
 def spelt(sigs: np.ndarray) -> str:
@@ -112,12 +114,19 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    source = sorted_slices(only(df, id_col, text_col, text=text_col).toDF("key", "text"))
-    id_type = _arrow(source.schema["key"].dataType)
-    kind = source.schema["key"].dataType.simpleString()
+    rows = only(df, id_col, text_col, text=text_col).toDF("id", "text").select(_place(df.schema[id_col].dataType).alias("key"), "id", "text")
+    source = sorted_slices(rows, "text").select("slice", "edge", "id", "text")
+    id_type = _arrow(source.schema["id"].dataType)
+    kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
+def _place(kind: T.DataType) -> Column:
+    """Orders rows by id, null first, then by a digest of the text: rows that share an id are still cut into slices."""
+    name = F.lpad(F.hex(F.col("id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if isinstance(kind, T.IntegralType) else F.concat(F.col("id").cast("string"), F.lit("\x00"))
+    return F.concat(F.when(F.col("id").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), name)), F.md5("text"))
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -109,7 +109,7 @@ w as (select doc_id, kind, unnest(ws) w, unnest(range(len(ws))) i from (select d
 c as materialized (select *, w in ({common}) com, count(*) filter (w not in ({common})) over (partition by doc_id, kind order by i) k from w),
 n as materialized (select doc_id, kind, k, w from c where not com),
 sig as (select distinct a.doc_id, a.kind, substr(md5(a.w || ' ' || p.w || ' ' || q.w), 1, 8) s from c a join n p on p.doc_id = a.doc_id and p.kind = a.kind and p.k = a.k + 1 join n q on q.doc_id = a.doc_id and q.kind = a.kind and q.k = a.k + 2 where a.com),
-f as materialized (select x.doc_id, x.kind, x.nd, x.t, coalesce(l, [substr(md5(x.t), 1, 8)]) l from x left join (select doc_id, kind, list(s order by s) l from sig group by 1, 2) g using (doc_id, kind)),
+f as materialized (select x.doc_id, x.kind, x.nd, x.t, coalesce(l, list_sort(list_distinct([substr(md5(x.t), 1, 8), substr(md5(x.t), 9, 8), substr(md5(x.t), 17, 8), substr(md5(x.t), 25, 8)]))) l from x left join (select doc_id, kind, list(s order by s) l from sig group by 1, 2) g using (doc_id, kind)),
 m as (select a.doc_id, length(a.t)::bigint n_chars, sha256(b.t) edited_sha256, a.l la, b.l lb, e.l le from f a join f b on b.doc_id = a.doc_id and b.kind = 1 join f e on e.doc_id = a.nd and e.kind = 0 where a.kind = 0)
 select doc_id, n_chars, edited_sha256, list_aggregate(la, 'string_agg', '') fingerprint, list_aggregate(lb, 'string_agg', '') edited_fingerprint, len(list_intersect(la, lb)) / len(list_distinct(list_concat(la, lb))) near_edited, len(list_intersect(la, le)) / len(list_distinct(list_concat(la, le))) near_next from m
 """

@@ -212,8 +212,8 @@ def test_mix_repeats_rows(corpus):
 PAGE = '<html><head><title>T</title><script>var t="</p><p>no</p>";</script></head><body><nav><ul><li>Menu</ul></nav><div class="ad">Buy</div>{}<div id="comments"><p>me too</p></div><footer>&copy; site</footer></body></html>'
 
 
-def page_text(html):
-    return "\n".join(t for t, b, m in htmltext.lines_of(html) if not b)
+def page_text(html, *around):
+    return htmltext.main_text(htmltext.lines_of(html), [[x.hash for x in htmltext.lines_of(p)] for p in around])
 
 
 def test_pages_lose_what_never_is_main_text():
@@ -223,6 +223,55 @@ def test_pages_lose_what_never_is_main_text():
     assert page_text("<p>cut &amp; off<!-- never closed") == "cut & off"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<p>Main text <span class="share">Share this</span> goes on</p>', "Main text goes on"),
+        ('<p>Main text <span class="ad">Buy</p><p>next</p>', "Main text\nnext"),
+        ("<p><a href=it's>x</a> alpha beta</p><p>gamma</p>", "x alpha beta\ngamma"),
+        ('<p><a title="a > b" href=\'c\'>x</a> y</p>', "x y"),
+        ("<div hidden><p>no</p></div><div aria-hidden=true>no</div><p>yes</p>", "yes"),
+        ("<i>one</b> two</i></p> three", "one two\nthree"),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+        ('<div role="main"><p>in</p></div><p>out</p>', "in"),
+    ],
+)
+def test_marks_apply_to_runs_of_text_and_quotes_to_values(page, text):
+    assert page_text(page) == text
+
+
+def test_differencing_decides_inside_marked_regions():
+    body = "<main><div>By the staff</div><h1>{0}</h1><p>Quoted by all.</p><p>{0} one and much that is their own</p><p>{0} two</p><div>Share this story</div></main>"
+    a, b, c = (body.format(x) for x in ("Ants", "Bees", "Cats"))
+    want = "Ants\nQuoted by all.\nAnts one and much that is their own\nAnts two"
+    assert page_text(a, b, c) == page_text(a, c) == want
+    assert page_text(a) == "By the staff\n" + want + "\nShare this story"
+    inner = "<article><p>{0} one</p><div>{1}</div><p>{0} two</p></article>"
+    pages = [inner.format(x, "Our newsletter") for x in ("Ants", "Bees", "Cats")]
+    assert page_text(*pages) == "Ants one\nAnts two"
+    assert page_text(*pages[:2]) == "Ants one\nOur newsletter\nAnts two"
+    assert page_text(a, a) == page_text(a) and page_text(a, a, b) == want  # a page with the same article tells nothing
+
+
+def test_copies_at_neighbouring_urls_keep_their_text():
+    page = "<div>Site</div><p>the same text on both pages</p>"
+    other = "<div>Site</div><p>something else entirely here</p>"
+    assert page_text(page, page) == "Site\nthe same text on both pages"
+    assert page_text(page, page, other) == "the same text on both pages"
+
+
+def test_parsing_is_linear_in_hostile_pages():
+    import time
+
+    for make in (lambda n: "<i>x" * n + "</b>" * n, lambda n: "<p><b>" * n, lambda n: "<li>" * n + "</i>" * n, lambda n: '<a b="' * n, lambda n: "<svg/>" * n, lambda n: "<" * n):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            htmltext.lines_of(make(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * max(took[0], 0.05)
+
+
 def test_common_subsequences_are_longest():
     rng = random.Random(3)
     for _ in range(300):
@@ -237,6 +286,17 @@ def test_common_subsequences_are_longest():
         assert all(any(x == a[i] for x in it) for i in got)
 
 
+def test_long_alignments_halve(monkeypatch):
+    rng = random.Random(8)
+    cases = [[[rng.randrange(5) for _ in range(rng.randrange(60))] for _ in range(2)] for _ in range(60)]
+    whole = [len(htmltext.shared(a, b)) for a, b in cases]
+    monkeypatch.setattr(htmltext, "CELLS", 8)
+    for (a, b), n in zip(cases, whole, strict=True):
+        got = sorted(htmltext.shared(a, b))
+        it = iter(b)
+        assert len(got) == n and all(any(x == a[i] for x in it) for i in got)
+
+
 def test_unmarked_pages_lose_lines_that_the_nearest_page_has(spark):
     site = "<p>Welcome to the site</p>{}<p>All rights kept</p>"
     rows = [(k, f"https://h.example/{p}", site.format(f"<p>text {k}</p>"), 1) for k, p in enumerate(["a/1", "a/2", "b/1", "b/2"])]
@@ -247,6 +307,13 @@ def test_unmarked_pages_lose_lines_that_the_nearest_page_has(spark):
     assert htmltext.extract(df.limit(0)).collect() == []
 
 
+def test_repeated_rows_of_a_page_agree(spark):
+    site = "<p>Welcome to the site</p>{}<p>All rights kept</p>"
+    rows = [(1, "https://h.example/a", site.format("<p>a text that is long enough</p>"))] + [(2, "https://h.example/b", site.format("<p>another text that is long enough</p>"))] * 3 + [(None, "https://h.example/c", None)] * 2
+    got = [(r.page_id, r.text) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a text that is long enough")] + [(2, "another text that is long enough")] * 3 + [(None, "")] * 2))
+
+
 def test_the_pipeline_stage_by_stage(spark, corpus, tmp_path):
     import corpus_pipeline as cp
 
