@@ -12,7 +12,7 @@ scripts, adverts, comments) go whether shared or not. Differencing decides on ev
 * Elsewhere all lines that the nearest page has go.
 
 A neighbour that shares the article itself tells nothing about the site: one that would leave less than a tenth of the
-page's characters (half of a marked region's) is passed over for the other, and with none left nothing is deleted.
+page's characters (half of a marked region's) is passed over for the other, as one without text is, and with none left nothing is deleted.
 
 A null or empty page has an empty text; a null URL is a host of its own without a neighbour. Rows repeat as they come: rows
 of one id at one URL are one page's, each is compared with the pages around them and never with one another, so equal rows
@@ -286,7 +286,7 @@ def main_text(lines: list[Line], neighbours: list[list[int]]) -> str:
     for other in neighbours:
         gone = shared(hashes, other).intersection(own)
         left = size - sum(len(lines[k].text) for k in gone)
-        if left and left >= (COPY_MARKED if marked else COPY) * size:
+        if other and left and left >= (COPY_MARKED if marked else COPY) * size:
             told.append(gone)
             if not marked:
                 break
