@@ -1,19 +1,28 @@
 """Near-duplicate detection by circulant MinHash, banding and exact Jaccard on full shingle sets.
 
-A document's set holds the hashes of its distinct runs of four words. Two permutations make the whole signature: the
-first places every shingle in a universe of UNIVERSE positions, the second, circularly shifted by k, gives coordinate k.
-Shifts are contiguous in memory, so all coordinates of a shingle are one slice of a table.
+A document's set holds the hashes of its distinct runs of four words. Two permutations make the whole signature. The
+first, mix() of the 64-bit hash and a constant, is a bijection of all shingles; its upper bits are the shingle's place in
+UNIVERSE positions. The second, a table, circularly shifted by k, gives coordinate k. Shifts are contiguous in memory, so
+all coordinates of a shingle are one slice of the table.
 
 BANDS bands of ROWS coordinates make two sets of Jaccard 0.8 meet with a chance of 1 - (1 - 0.8^4)^28, or all but four in
-ten million. Sets that meet are candidates of one group; groups are verified in full, in tasks of bounded size: a group's
-members are cut into blocks and every two blocks meet in one task, which counts intersections through an inverted index
-and returns a forest of links rather than pairs. No cap, no pair list: links are exact on full sets.
+ten million. Every two sets that share a band and that nothing else has linked are verified on full sets, and sets that
+share none are not, however many others lie between them:
+
+* first each member of a band with the band's smallest id, a row for each such pair, the sets of a common hub sent once for
+  CHUNK members;
+* then, in bands of three or more members that these links leave in several components, all members of different ones.
+  Members of the largest component meet the others only. Members are cut into blocks of CHUNK sets and two blocks meet in
+  one task, which counts intersections through an inverted index and returns a forest of links. No cap, no pair list.
+
+What travels are sets of hashes; texts are read once to sign them and once, where a band is shared, to write the sets.
 
 Documents of one set are one class, represented by its smallest id; only representatives are banded and verified. Nulls
 and texts without words have empty sets and link with nothing; fewer than four words are one shingle, the whole sequence.
-Rows of one id are one document. Each row without an id is a document of its own, banded and linked as others are, under
-an internal key made of its text that sorts after every id. near_groups() marks no such row as kept, as nothing names it;
-deduplicated() keeps one of each group that has no id. Other columns are ignored; empty tables give empty results.
+Ids may be null or repeat: each row is a document of its own, whatever its id. near_groups() names a group by the smallest
+id in it (null if none has one) and marks the rows of that id as kept; deduplicated() keeps one row of each group, of the
+smallest id, then of the least digest, and loses no row that links with nothing. Other columns are ignored; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -23,16 +32,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._shared import U64, buffer_of, cleared, components, mapped, mix, only, rolled, settled, sliced, whole_runs, words_of
+from siftwork.llm._shared import BATCH_BYTES, U64, buffer_of, cleared, components, mapped, mix, only, rolled, scratched, settled, sliced, words_of
 
 SHINGLE = 4
 BANDS, ROWS = 28, 4
 UNIVERSE = 1 << 20
-#: Members of a block, at least and at most, and shingles of a block at most (a single longer document excepted).
-BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 256, 2048, 2_000_000
+#: Members of a block, or of a hub's share of its band; shingles of a block, about (a single longer document excepted).
+CHUNK, CHUNK_SHINGLES = 64, 1_000_000
 
 
 @cache
@@ -124,13 +133,17 @@ class _Forest:
         return a != b
 
 
-def links(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A forest over the positions of sets that joins just what the pairs with 100 * |A & B| >= percent * |A | B| join.
+def links(sets: list[np.ndarray], label: list, side: list | None, percent: int) -> list[tuple[int, int]]:
+    """A forest over the positions of sets that joins just what the pairs with 100 * |A & B| >= percent * |A | B| join, of
+    pairs with different labels (those of one label are joined already).
 
     side: with two blocks, which one a set is of; only pairs across count. Work is by an inverted index, one set at a time.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
+    names = {x: k for k, x in enumerate(dict.fromkeys(label))}
+    own = np.array([names[x] for x in label], np.int64)
+    part = np.zeros(n, np.int64) if side is None else np.array([int(x == side[0]) for x in side], np.int64)
     token = np.concatenate(sets) if n else np.zeros(0, U64)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(token, kind="stable")
@@ -151,115 +164,163 @@ def links(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list
         skip = np.repeat(spots + 1 - np.concatenate([[0], np.cumsum(tail)[:-1]]), tail)
         met = owner_of[skip + np.arange(int(tail.sum()))]
         both = np.bincount(met, minlength=n)
-        near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[x] + sizes - both)))
-        for y in near.tolist():
-            if (side is None or side[x] != side[y]) and forest.join(x, y):
+        near = (both > 0) & (own != own[x]) & (100 * both >= percent * (sizes[x] + sizes - both))
+        if side is not None:
+            near &= part != part[x]
+        for y in np.flatnonzero(near).tolist():
+            if forest.join(x, y):
                 out.append((x, y))
     return out
 
 
-def _verified(percent: int, width: int, kind: pa.DataType):
-    def groups(batches: Iterator[pa.RecordBatch]):
-        key, ids, blocks, sets = None, [], [], []
+def _set_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, U64)
+
+
+def _edges(a: list, z: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(z, kind)], names=["a", "b"])
+
+
+def _with_hub(percent: int, kind: pa.DataType):
+    """Rows (least, part, hub, rep, set), each hub before the members of its part: the members that are near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for b in sliced(batches):
-            got = shingle_sets(*buffer_of(b.column(5)), width)
-            for k, i, s in zip(zip(*[b.column(c).to_pylist() for c in (0, 1, 2)], strict=True), zip(*[b.column(c).to_pylist() for c in (3, 4)], strict=True), got, strict=True):
-                if k != key:
-                    if key is not None:
-                        yield key, ids, blocks, sets
-                    key, ids, blocks, sets = k, [], [], []
-                ids.append(i[1])
-                blocks.append(i[0])
-                sets.append(s)
-        if key is not None:
-            yield key, ids, blocks, sets
+            a, z = [], []
+            for least, part, is_member, rep, packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                s = _set_of(packed)
+                if not is_member:
+                    hub, own = (least, part), s
+                elif hub == (least, part):
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        a.append(least)
+                        z.append(rep)
+            yield _edges(a, z, kind)
+
+    return run
+
+
+def _in_blocks(percent: int, kind: pa.DataType):
+    """Rows (band, i, j, block, label, rep, set): links between the members of blocks i and j, or within one."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, held = None, []
+        for b in sliced(batches, BATCH_BYTES):
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield key, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, z = [], []
-        for (_, i, j), ids, blocks, sets in groups(batches):
-            for x, y in links(sets, None if i == j else np.array(blocks), percent):
-                a.append(ids[x])
-                z.append(ids[y])
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(z, kind)], names=["a", "b"])
-                a, z = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(z, kind)], names=["a", "b"])
+        for (_, i, j), held in tasks(batches):
+            block, label, reps, packed = zip(*held, strict=True)
+            found = links([_set_of(p) for p in packed], list(label), None if i == j else list(block), percent)
+            if found:
+                yield _edges([reps[x] for x, _ in found], [reps[y] for _, y in found], kind)
 
     return run
 
 
-def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """For every row of docs (id, text), no id null: id, n_shingles and component, the smallest id that its links reach."""
-    sig = settled(signed(docs, width))
-    classes = settled(sig.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep")))
-    members = settled(sig.join(classes, ["k1", "k2", "n_shingles"], "left").select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
-    cleared(docs.sparkSession, sig, classes)
-
-    banded = members.where("bands is not null").select("rep", F.explode("bands").alias("band"))
-    shared = settled(banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least"))
-    stars = banded.join(shared, "band").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    nodes = settled(components(stars).join(members.where("bands is not null").select(F.col("rep").alias("node"), "n_shingles").distinct(), "node"))
-    cleared(docs.sparkSession, shared)
-
-    stats = settled(nodes.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
-    rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.col("n") / 16))
-    cut = nodes.join(stats, "label").withColumn("blocks", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meet = cut.select("node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meet = meet.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    tasks = docs.join(meet, docs.id == meet.node).select("label", "i", "j", "own", "node", "text")
-    tasks = tasks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, n and set (sorted 64-bit hashes) for rows (id, text)."""
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(*buffer_of(b.column(1)), width)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    kind = to_arrow_type(docs.schema["id"].dataType)
-    said = docs.schema["id"].dataType.simpleString()
-    found = components(tasks.mapInArrow(_verified(percent, width, kind), f"a {said}, b {said}"))
-    labels = settled(found.select(F.col("node").alias("rep"), "label"))
-    out = members.select("id", "n_shingles", "rep").join(labels, "rep", "left")
-    return out.select("id", "n_shingles", F.coalesce("label", "rep", "id").alias("component"))
+    return mapped(docs, run, f"id {docs.schema[0].dataType.simpleString()}, set binary")
 
 
-def _key(id_: Column, text: Column) -> Column:
-    """Names a document where some have no id: those sort last, and equal texts share a key."""
-    return F.struct(id_.isNull().alias("none"), id_.alias("id"), F.when(id_.isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).alias("name"))
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """For every row of docs (id, text), ids neither null nor repeated: id, n_shingles and component, the smallest id that
+    its links reach."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    kind = to_arrow_type(docs.schema["id"].dataType)
+    said = f"a {docs.schema['id'].dataType.simpleString()}, b {docs.schema['id'].dataType.simpleString()}"
+    with scratched(spark) as keep:
+        sig = keep(signed(docs, width))
+        classes = keep(sig.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep")))
+        members = keep(sig.join(classes, ["k1", "k2", "n_shingles"], "left").select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+        cleared(spark, sig, classes)
+
+        banded = members.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+        shared = keep(banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("m")).where("m > 1").select("band", "least", "m"))
+        met = keep(banded.join(shared, "band"))
+        cleared(spark, shared)
+        sets = keep(_packed_sets(docs.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text"), width))
+
+        stars = keep(met.where("rep <> least").select("least", "rep").distinct())
+        hubs = stars.groupBy("least").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+        spokes = stars.join(hubs, "least").select("least", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_member"), "rep")
+        centres = hubs.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_member"), F.col("least").alias("rep"))
+        pairs = spokes.unionByName(centres).join(sets.withColumnRenamed("id", "rep"), "rep").select("least", "part", "is_member", "rep", "set")
+        near = keep(pairs.repartition("least", "part").sortWithinPartitions("least", "part", "is_member").mapInArrow(_with_hub(percent, kind), said))
+        cleared(spark, stars)
+
+        # what bands of three or more members hold beyond their hubs' links
+        first = components(near)
+        crowd = met.where("m > 2").join(first.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        crowd = keep(crowd)
+        cleared(spark, first, met)
+        alike = crowd.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("a < z")
+        open_bands = keep(alike.groupBy("m", "who").agg(F.min("band").alias("band")).select("band"))
+        rest = crowd.join(open_bands, "band")
+        sizes = rest.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        most = sizes.groupBy("band").agg(F.max(F.struct("c", "label", "s")).alias("big"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / CHUNK), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+        cut = keep(most.select("band", F.col("big.label").alias("big"), blocks(F.col("big.c"), F.col("big.s")).alias("majors"), blocks(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("minors")))
+        placed = rest.join(cut, "band").withColumn("major", F.col("label") == F.col("big"))
+        placed = placed.withColumn("block", F.when(F.col("major"), -1 - F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int"))
+        # blocks of the largest component have numbers below zero, and meet those of the others alone
+        others = F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.concat(F.sequence(F.lit(0), F.col("minors") - 1), F.sequence(-F.col("majors"), F.lit(-1))))
+        placed = placed.select("band", "rep", "label", "block", F.explode(others).alias("other"))
+        placed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "rep")
+        tasks = placed.join(sets.withColumnRenamed("id", "rep"), "rep").select("band", "i", "j", "block", "label", "rep", "set")
+        more = keep(tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_in_blocks(percent, kind), said))
+        labels = components(near.unionByName(more))
+        out = settled(members.select("id", "n_shingles", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep", "id").alias("component")))
+        cleared(spark, labels)
+    return out
 
 
-def _without_id(df: DataFrame, id_col: str) -> bool:
-    return not df.where(F.col(id_col).isNull()).select(F.lit(1)).isEmpty()
+def _named(df: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    ids = df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    return ids.where("id is null or n > 1").select(F.lit(1)).isEmpty()
 
 
-def _keyed_groups(df: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """_grouped() by key: a row for every row with an id, and for every distinct text of those without."""
-    docs = only(df, id_col, text_col, text=text_col).toDF("id", "text").select(_key(F.col("id"), F.col("text")).alias("id"), "text")
-    alone = docs.where("id.none").groupBy("id").agg(F.first("text").alias("text"))
-    return _grouped(docs.where("not id.none").unionByName(alone), percent, width)
+def _numbered(df: DataFrame) -> DataFrame:
+    """df, written, with a number for each row."""
+    return settled(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in df.columns]).alias("_all")))
 
 
 def near_groups(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of df: id, n_shingles, component_id (the smallest id that its links reach, null if none) and kept."""
-    if not _without_id(df, id_col):
-        got = _grouped(only(df, id_col, text_col, text=text_col).toDF("id", "text"), percent, width)
+    docs = only(df, id_col, text_col, text=text_col).toDF("id", "text")
+    if _named(df, id_col):
+        got = _grouped(docs, percent, width)
         return got.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
-    got = settled(_keyed_groups(df, percent, width, id_col, text_col))
-    times = df.where(F.col(id_col).isNull()).groupBy(_key(F.col(id_col), F.col(text_col)).alias("id")).agg(F.count("*").alias("n"))
-    alone = got.where("id.none").join(times, "id").select("id", "n_shingles", "component", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
-    every = got.where("not id.none").unionByName(alone)
-    kept = ~F.col("id.none") & (F.col("id") == F.col("component"))
-    return every.select(F.col("id.id").alias(id_col), "n_shingles", F.col("component.id").alias("component_id"), kept.alias("kept"))
+    rows = _numbered(docs)
+    got = _grouped(rows.select(F.col("_row").alias("id"), "_all.text"), percent, width).join(rows.select(F.col("_row").alias("id"), F.col("_all.id").alias("name")), "id")
+    least = settled(got.groupBy("component").agg(F.min("name").alias("least")))
+    return got.join(least, "component").select(F.col("name").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("name") == F.col("least"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(df: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, columns as they came: the row of the group's smallest id, or of one of its texts if it has none."""
-    if not _without_id(df, id_col):
+    """One row of each group, columns as they came: the row of the smallest id, of the least digest where ids don't tell."""
+    if _named(df, id_col):
         kept = near_groups(df, percent, width, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept"))
-        return df.join(kept.distinct(), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    kept = settled(_keyed_groups(df, percent, width, id_col, text_col).where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept")).distinct())
-    named = df.where(F.col(id_col).isNotNull()).join(kept.where("not _kept.none").select("_kept.id"), F.col(id_col) == F.col("id"), "left_semi").dropDuplicates([id_col])
-    # rows without an id and without words are of no group, and all stay; of rows of one text, the least hash stays
-    words = F.coalesce(F.rlike(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
-    alone = df.where(F.col(id_col).isNull())
-    row = F.struct(*[F.col(c) for c in df.columns])
-    texts = alone.where(words).groupBy(_key(F.col(id_col), F.col(text_col)).alias("_key")).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
-    texts = texts.join(kept.where("_kept.none"), F.col("_key") == F.col("_kept"), "left_semi").select("_row.*")
-    return named.unionByName(texts).unionByName(alone.where(~words))
+        return df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    rows = _numbered(df)
+    got = _grouped(rows.select(F.col("_row").alias("id"), F.coalesce(F.col(f"_all.{text_col}"), F.lit("")).alias("text")), percent, width)
+    place = rows.select(F.col("_row").alias("id"), F.struct(F.col(f"_all.{id_col}").isNull().alias("none"), F.col(f"_all.{id_col}").alias("name"), F.xxhash64("_all").alias("digest")).alias("place"))
+    first = settled(got.join(place, "id").groupBy("component").agg(F.min_by("id", "place").alias("_first")))
+    return rows.join(first, F.col("_row") == F.col("_first"), "left_semi").select("_all.*")

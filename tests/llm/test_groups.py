@@ -68,8 +68,7 @@ def test_near_groups_are_all_links(corpus, width):
 
 
 def test_blocks_of_a_large_group_meet(corpus, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_LEAST", 2)
-    monkeypatch.setattr(minhash, "BLOCK_MOST", 2)
+    monkeypatch.setattr(minhash, "CHUNK", 2)
     s, label = components_of(rows_of(corpus))
     assert {r.doc_id: r.component_id for r in minhash.near_groups(corpus).collect()} == label
 
@@ -104,6 +103,25 @@ def test_rows_without_ids_are_deduplicated_among_themselves(spark):
     assert all(r.kept == (r.doc_id in (3, 4, 9)) for r in groups)
 
 
+def test_a_chain_of_near_copies_is_one_group(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    w = prose(200).split()
+    texts = [" ".join([*(f"z{j}" for j in range(k)), *w[k:]]) for k in range(0, 120, 6)]  # each is near the next ones only
+    df = spark.createDataFrame([(len(texts) - k, t) for k, t in enumerate(texts)] + [(90 + k, prose(80)) for k in range(5)], "doc_id long, text string").repartition(3)
+    _, label = components_of(rows_of(df))
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df).collect()} == label and set(label.values()) == {1, *range(90, 95)}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = (prose(60) for _ in range(3))
+    df = spark.createDataFrame([(1, a, "x"), (None, b, "y"), (2, c, "z"), (2, prose(60), "z"), (2, c, "z"), (2, None, "n"), (None, None, "n")], "doc_id long, text string, _row string")
+    out = minhash.deduplicated(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == 6 and {(1, a), (None, b), (2, c), (2, None), (None, None)} <= set(got)
+    assert len(minhash.near_groups(df).collect()) == 7
+
+
 def test_a_row_without_an_id_links_two_rows_with_one(spark):
     w = prose(100).split()
     change = lambda *at: " ".join("zzz" if k in at else x for k, x in enumerate(w))
