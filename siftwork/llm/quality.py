@@ -1,8 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Each rule has a verdict on its own and a cost. A sample of bounded size gives every rule's cost (time to evaluate it)
-and selectivity (share it rejects); the cascade then tests rules by rejection per cost, and a rejected row skips the rest.
-The order moves cost only: the verdict is the conjunction of all rules whatever the order.
+Each rule is an expression on the text and what is derived from it once for all rules: its words and their number. A
+sample of all partitions gives every rule's cost (time to evaluate it, less that of an empty rule) and selectivity (which
+sample rows it rejects); the cascade tests rules by rejection per cost, each judged on the rows that those before it let
+pass, and a rejected row skips the rest. The order moves cost only: the verdict is the conjunction of all rules whatever
+the order. keep() evaluates nothing but the cascade; cascade() returns the counts of the base rules, so there only what
+the counts don't give is left to skip.
 
 Nulls count as empty texts, which the word-count rule rejects; extra columns are kept by keep() and ignored by measures().
 Repeated rows get equal answers; an empty table gives an empty result.
@@ -17,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm._shared import scratched
+
 GAP = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -51,92 +56,137 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), doubles))
 
     def of_hashes(h: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])), of_windows)
+        return let(F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.xxhash64(F.slice(h, i, width))), of_windows)
 
     return F.when(F.size(ws) < width, F.lit(0).cast("long")).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), of_hashes))
 
 
+def word_chars(text: Column) -> Column:
+    return F.length(F.translate(text, SPACES, ""))
+
+
+def symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+
+
+def same_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    return F.greatest(F.lit(0), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+
+
+def upper(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
+
+
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, words, and the six counts that the rules read, for every row."""
+    """id, words, and the counts that the base rules read, for every row; and the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("ws"), F.split(text, "\n").alias("ls"))
-    lines = let(F.filter("ls", lambda x: F.length(F.translate(x, SPACES, "")) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    split = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("ws"))
     return split.select(
         "doc_id",
+        "text",
         F.size("ws").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.greatest(lines, F.lit(0)).cast("long").alias("n_dup_lines"),
+        word_chars(F.col("text")).cast("long").alias("word_chars"),
+        symbols(F.col("text")).cast("long").alias("n_symbols"),
+        same_lines(F.col("text")).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("ws")).alias("n_repeat_words"),
-        (F.length("text") - F.length(F.regexp_replace("text", "\\p{Lu}", ""))).cast("long").alias("n_upper"),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects(t): t["text"], t["ws"] (words), t["n"] (their number) and the counts, to a Boolean."""
+
     name: str
-    rejects: Column
+    rejects: Callable[[dict[str, Column]], Column]
 
 
 def base_rules() -> list[Rule]:
     return [
-        Rule("few_words", F.col("n_words") < 20),
-        Rule("repeats", 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
+        Rule("few_words", lambda t: t["n"] < 20),
+        Rule("repeats", lambda t: 100 * t["n_repeat_words"] > 30 * t["n"]),
     ]
 
 
 def method_rules() -> list[Rule]:
     """Rules beside the two base ones; each names a kind of text that is not prose, far from what clean texts reach."""
     return [
-        Rule("symbols", 100 * F.col("n_symbols") > 30 * F.col("n_words")),
-        Rule("shouting", 100 * F.col("n_upper") > 40 * F.col("word_chars")),
-        Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words"))),
-        Rule("same_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_words")),
+        Rule("symbols", lambda t: 100 * t["n_symbols"] > 30 * t["n"]),
+        Rule("shouting", lambda t: 100 * t["n_upper"] > 40 * t["word_chars"]),
+        Rule("word_length", lambda t: (t["word_chars"] < 2 * t["n"]) | (t["word_chars"] > 25 * t["n"])),
+        Rule("same_lines", lambda t: 100 * t["n_dup_lines"] > 30 * t["n"]),
     ]
 
 
-def ordered(df: DataFrame, rules: list[Rule], rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second on a sample of at most `rows` rows, best first. Rules that reject nothing go last.
+class _Counts(dict):
+    """The counts of a text, as expressions made when a rule asks for them."""
+
+    def __missing__(self, name: str) -> Column:
+        made = {"word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": same_lines, "n_upper": upper}
+        self[name] = repeated_words(self["ws"]) if name == "n_repeat_words" else made[name](self["text"])
+        return self[name]
+
+
+def _verdict(text: Column, says: Callable[[_Counts], Column]) -> Column:
+    """says of a text, its words split once."""
+    return let(words(text), lambda ws: let(F.size(ws), lambda n: says(_Counts(text=text, ws=ws, n=n))))
 
-    The sample is the first rows that the first partitions give, so the rest of a large table is not read, and each rule
-    computes the measures that it needs alone. It sets the order, so it moves the cost and never a verdict.
-    """
-    if not rules:
-        return []
 
-    def timed(rule: Rule) -> tuple[float, int]:
-        began = time.perf_counter()
-        said = df.select(F.coalesce(rule.rejects, F.lit(False)).alias("r")).take(rows)
-        return time.perf_counter() - began, sum(x.r for x in said)
+#: Rows of the sample, about, and how often a rule is timed on it.
+SAMPLE, TIMES = 1000, 2
 
-    timed(rules[0])  # compiled code and open files count for none
-    found = [(rule, *timed(rule)) for rule in rules]
-    return [r for r, _, _ in sorted(found, key=lambda x: (-x[2] / max(x[1], 1e-3), x[0].name))]
 
+def sampled(df: DataFrame, text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
+    """About `rows` texts from all partitions, as column text."""
+    total = df.count()
+    return df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).sample(False, min(1.0, rows / max(total, 1)), 11)
 
-def rejected(rules: list[Rule]) -> Column:
+
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Rules by rejections per second on a sample (column text), best first, each on the rows that those before it let
+    pass. It sets the order, so it moves the cost and never a verdict."""
+    if not rules:
+        return []
+    with scratched(sample.sparkSession) as keep:
+        texts = keep(sample.coalesce(1))
+
+        def seconds(says: Callable[[_Counts], Column]) -> float:
+            took = []
+            for _ in range(TIMES):
+                began = time.perf_counter()
+                texts.agg(F.count(F.when(_verdict(F.col("text"), says), 1))).first()
+                took.append(time.perf_counter() - began)
+            return min(took)
+
+        said = texts.select(*[F.coalesce(_verdict(F.col("text"), r.rejects), F.lit(False)).alias(r.name) for r in rules]).collect()
+        none = seconds(lambda t: t["n"] < 0)
+        cost = {r.name: max(seconds(r.rejects) - none, 1e-4) for r in rules}
+    left, out, todo = said, [], sorted(rules, key=lambda r: (cost[r.name], r.name))
+    while todo:
+        best = max(todo, key=lambda r: sum(x[r.name] for x in left) / cost[r.name])
+        out.append(best)
+        todo.remove(best)
+        left = [x for x in left if not x[best.name]]
+    return out
+
+
+def rejected(rules: list[Rule], t: dict[str, Column]) -> Column:
     """One CASE that stops at the first rule that rejects."""
     out = None
     for r in rules:
-        hit = F.coalesce(r.rejects, F.lit(False))
+        hit = F.coalesce(r.rejects(t), F.lit(False))
         out = F.when(hit, True) if out is None else out.when(hit, True)
     return F.lit(False) if out is None else out.otherwise(False)
 
 
-def cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000) -> DataFrame:
+def cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
     """measures() with base_failed and kept for every row."""
-    m = measures(df, id_col, text_col)
-    order = ordered(m, [*base_rules(), *method_rules()], rows)
-    return m.select("*", rejected(base_rules()).alias("base_failed"), (~rejected(order)).alias("kept"))
+    order = ordered(sampled(df, text_col, rows), [*base_rules(), *method_rules()])
+    counts = _Counts(text=F.col("text"), n=F.col("n_words"), **{c: F.col(c) for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
+    return measures(df, id_col, text_col).select("*", rejected(base_rules(), counts).alias("base_failed"), (~rejected(order, counts)).alias("kept")).drop("text")
 
 
-def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000) -> DataFrame:
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
     """The rows of df that no rule rejects, columns as they came. No shuffle: the verdict is an expression on the row."""
-    order = ordered(measures(df, id_col, text_col), [*base_rules(), *method_rules()], rows)
-    return _with_measures(df, text_col).where(~rejected(order)).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
-
-
-def _with_measures(df: DataFrame, text_col: str) -> DataFrame:
-    row = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
-    text = F.coalesce(F.col(f"_row.{text_col}"), F.lit(""))
-    return measures(row.select(F.col("_row").alias("_keep"), text.alias("_text")), "_keep", "_text").withColumnRenamed("doc_id", "_row")
+    order = ordered(sampled(df, text_col, rows), [*base_rules(), *method_rules()])
+    return df.where(~_verdict(F.coalesce(F.col(text_col), F.lit("")), lambda t: rejected(order, t)))
