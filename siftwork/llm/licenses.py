@@ -3,7 +3,8 @@
 A template is license wording with <<beginOptional>>...<<endOptional>> around words that may be absent (regions nest)
 and <<var;words=a-b>> where any a to b words may stand. Its automaton accepts a run of words whose mandatory wording
 matches exactly. A text is searched for a template's longest mandatory phrase, and the automaton runs from each place
-before it where a match can begin; texts without the phrase cost one substring search.
+before it where a match can begin; texts without the phrase cost one substring search. Places are counted forward, so a
+text costs its length once, however often a phrase stands in it.
 
 A null text is empty: no words, null places, empty labels, score 0. Rows repeat as they come; other columns are ignored;
 an empty table gives an empty result.
@@ -12,6 +13,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -22,8 +24,31 @@ from siftwork.llm._shared import buffer_of, mapped, only
 #: Phrases of whole words and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Wording of public licenses and of the usual references to them, with labels. Fixed values.
+_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;words=2-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<var;words=0-1>> Redistributions of source code must retain the <<beginOptional>>above<<endOptional>> copyright notice, this list of conditions and the following disclaimer.
+<<var;words=0-1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """<<var;words=0-1>> Neither the name of <<var;words=1-12>> nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>copyright holders and<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var;words=2-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;words=2-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+
+#: Whole public licenses, the notices by which files refer to longer ones, and usual references, with labels. Fixed values.
 TEMPLATES = {
+    "mit": f"""<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;words=1-16>><<endOptional>> Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. {_WARRANTY}""",
+    "bsd-2-clause": f"{_BSD_HEAD} {_BSD_TAIL}",
+    "bsd-3-clause": f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}",
+    "isc": """Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words=1-10>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;words=1-10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<var;words=0-1>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+<<var;words=0-1>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<var;words=0-1>> This notice may not be removed or altered from any source distribution""",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;words=1-4>> except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>http <<endOptional>><<beginOptional>>https <<endOptional>><<beginOptional>>www <<endOptional>>apache org licenses LICENSE-2.0 <<beginOptional>>txt <<endOptional>><<beginOptional>>html <<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<beginOptional>>http <<endOptional>><<beginOptional>>https <<endOptional>><<beginOptional>>www <<endOptional>>mozilla org MPL 2.0""",
+    "gpl-notice": """<<var;words=1-4>> is free software <<beginOptional>>you can redistribute it and/or modify it<<endOptional>> under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License as published by the Free Software Foundation, <<beginOptional>>either<<endOptional>> version <<var;words=1-2>> <<beginOptional>>of the License<<endOptional>>""",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction',
     "mit-notice": "<<var;words=1-1>> under the <<beginOptional>>terms of the<<endOptional>> MIT <<beginOptional>>(Expat)<<endOptional>> License",
     "apache-2.0": "Licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License <<beginOptional>>Version<<endOptional>> 2.0",
@@ -34,7 +59,6 @@ TEMPLATES = {
     "bsd-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "isc-grant": "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
-    "unlicense": "This is free and unencumbered software released into the public domain",
     "spdx-tag": "SPDX-License-Identifier <<var;words=1-1>>",
 }
 
@@ -143,16 +167,23 @@ class Automaton:
 
     def places(self, joined: bytes, words: list[bytes]) -> list[tuple[int, int]]:
         """All (start, end) in words; joined has the words between single spaces."""
-        out, needle, i = {}, b" " + self.phrase + b" ", -1
-        if needle not in joined:
-            return []
-        while (i := joined.find(needle, i + 1)) >= 0:
-            k = joined.count(b" ", 0, i)
+        out: dict[int, int | None] = {}
+        for k in starts_of(joined, self.phrase):
             for s in range(max(0, k - self.before[1]), k - self.before[0] + 1):
-                e = self.match(words, s)
-                if e is not None and e > k:
-                    out[s] = e
-        return sorted(out.items())
+                if s not in out:
+                    out[s] = self.match(words, s)
+        return sorted((s, e) for s, e in out.items() if e is not None)
+
+
+def starts_of(joined: bytes, phrase: bytes) -> Iterator[int]:
+    """The numbers of the words at which a phrase stands; joined has the words between single spaces."""
+    needle, at, k = b" " + phrase + b" ", 0, 0
+    i = joined.find(needle)
+    while i >= 0:
+        k += joined.count(b" ", at, i)
+        yield k
+        at = i
+        i = joined.find(needle, i + 1)
 
 
 @cache
@@ -162,14 +193,9 @@ def automata() -> dict[str, Automaton]:
 
 def phrase_places(joined: bytes) -> list[tuple[int, str]]:
     """Where the base phrases stand: first word and label."""
-    out = []
     if b" license " not in joined:
-        return out
-    for phrase, label in PHRASES.items():
-        needle, i = b" " + phrase.encode() + b" ", -1
-        while (i := joined.find(needle, i + 1)) >= 0:
-            out.append((joined.count(b" ", 0, i), label))
-    return out
+        return []
+    return [(k, label) for phrase, label in PHRASES.items() for k in starts_of(joined, phrase.encode())]
 
 
 def scan_text(text: bytes) -> tuple:
@@ -220,5 +246,3 @@ def template_regex(template: str) -> str:
         return out
 
     return of(parse(template))
-
-
