@@ -273,8 +273,8 @@ def _count_below(bounds: list, key) -> F.Column:
     return F.when(key.isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * g + fine)
 
 
-#: Bytes of a slice, about.
-SLICE = 32 << 20
+#: Bytes of a slice, about, up to so many slices; beyond, slices grow, and tasks stream through them.
+SLICE, SLICES = 4 << 20, 20_000
 
 
 def sorted_slices(rows: DataFrame, text: str, n: int | None = None) -> DataFrame:
@@ -283,15 +283,15 @@ def sorted_slices(rows: DataFrame, text: str, n: int | None = None) -> DataFrame
     rows before the slice, 0 for its own and 1 for the first rows after it; the table is a ring, so the last slice is
     followed by the first. Rows of one key share a slice.
 
-    Slices hold about SLICE bytes of text, so there are as many as the data need, and a task has one or a few. The borders
-    come from a sample of about 50 keys a slice; they move rows between tasks and no result. The driver sees those keys and
-    two more for each slice.
+    Slices hold about SLICE bytes of text, so there are as many as the data need, and a task has a few. The borders come
+    from a sample of about 50 keys a slice; they move rows between tasks and no result. The driver sees those keys and two
+    more for each slice, of SLICES slices at most.
     """
     spark = rows.sparkSession
     keys = rows.select("key")
     total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = n or max(2 * least, -(-size // SLICE))
+    n = n or max(2 * least, min(SLICES, -(-size // SLICE)))
     every = max(1, total // (50 * n))
     some = sorted(r.key for r in keys.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)).distinct().collect())
     bounds = sorted({some[k * len(some) // n] for k in range(1, n)}) if len(some) > 1 else []
@@ -313,4 +313,4 @@ def sorted_slices(rows: DataFrame, text: str, n: int | None = None) -> DataFrame
     if None in moved:
         also = F.when(F.col("key").isNull(), place(moved[None])).otherwise(also)
     places = F.concat(F.array(F.struct(own.cast("int").alias("slice"), F.lit(0).alias("edge"))).cast(kind), also)
-    return rows.select(F.explode(places).alias("_p"), "*").select("_p.slice", "_p.edge", *rows.columns).repartition(max(least, -(-size // (2 * SLICE))), "slice").sortWithinPartitions("slice", "edge", "key", text)
+    return rows.select(F.explode(places).alias("_p"), "*").select("_p.slice", "_p.edge", *rows.columns).repartition(max(least, n // 2), "slice").sortWithinPartitions("slice", "edge", "key", text)

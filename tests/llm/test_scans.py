@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwork.llm import bpe, licenses, quality, secrets, spotsigs
 
@@ -93,6 +94,42 @@ def test_optional_and_replaceable_regions():
     assert match("one three four x five") is None and match("one four five") is None and match("one four x y z five") is None
 
 
+def filled(name, **var):
+    """A template's text with all optional regions and the given words, one at a time, where words may stand."""
+    words = iter(var.get("words", ()))
+    text = re.sub("<<(begin|end)Optional>>", " ", licenses.TEMPLATES[name])
+    return re.sub(r"<<var;words=(\d+)-(\d+)>>", lambda m: next(words, " ".join(["x"] * max(1, int(m[1])))), text)
+
+
+def labels(text):
+    return set(licenses.scan_text(text.encode())[5].split(","))
+
+
+def test_whole_licenses_are_told_apart():
+    for name in licenses.TEMPLATES:
+        assert name in labels("before it " + filled(name) + " after it"), name
+    two, three = filled("bsd-2-clause"), filled("bsd-3-clause")
+    assert "bsd-2-clause" in labels(two) and "bsd-3-clause" not in labels(two)
+    assert "bsd-3-clause" in labels(three) and "bsd-2-clause" not in labels(three)
+    assert {"bsd-2-clause", "bsd-3-clause"}.isdisjoint(labels(three.replace("endorse", "advertise")))
+    mit = filled("mit")
+    assert "mit" in labels(mit) and labels(mit.replace("substantial", "large")) == {"mit-grant"}
+    assert "mit" in labels(mit.replace("(including the next paragraph)", "")) and "mit" not in labels(mit.replace("free of charge", "free"))
+
+
+def test_scans_of_long_texts_are_linear():
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        text = b"mit license " * n
+        began = time.process_time()
+        got = licenses.scan_text(text)
+        took.append(time.process_time() - began)
+        assert got[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 def test_bpe_is_tiktoken_and_round_trips(odd):
     import public_tokenizers as P
     import tiktoken
@@ -121,7 +158,7 @@ def test_bpe_classes_spelt_out_cut_alike():
 
 
 def test_spotsigs_follow_the_next_document(odd):
-    rows = sorted(((r.doc_id, r.text or "") for r in odd.where("id is not null").collect()), key=lambda x: x)
+    rows = sorted(((r.doc_id, r.text or "") for r in odd.where("id is not null").collect()), key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest()))
     frame = odd.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r) for r in spotsigs.digest(frame).collect())
     want = []
@@ -177,11 +214,25 @@ def test_quality_keep_returns_the_rows_as_they_came(odd):
 
 
 def test_order_of_rules_moves_no_verdict(odd):
-    m = quality.measures(odd)
     rules = quality.base_rules() + quality.method_rules()
-    a = m.select("doc_id", quality.rejected(rules).alias("x")).orderBy("doc_id").collect()
-    b = m.select("doc_id", quality.rejected(rules[::-1]).alias("x")).orderBy("doc_id").collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+    verdict = lambda order: quality._verdict(F.coalesce("text", F.lit("")), lambda t: quality.rejected(order, t))
+    rows = odd.select(verdict(rules).alias("a"), verdict(rules[::-1]).alias("b"), (~F.col("kept")).alias("c")) if "kept" in odd.columns else odd.select(verdict(rules).alias("a"), verdict(rules[::-1]).alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+
+
+def test_cascade_takes_the_best_rejection_per_cost_first(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}x{j}" for j in range(400)),) for i in range(200)] + [("### $$$ %%% " * 60,)] * 200 + [("one two",)] * 20, "text string")
+    names = [r.name for r in quality.ordered(df, [*quality.base_rules(), *quality.method_rules()])]
+    assert sorted(names) == sorted(r.name for r in quality.base_rules() + quality.method_rules())
+    # what is left after a rule that rejects as much for less is not worth the dear one
+    assert names.index("symbols") < names.index("repeats")
+
+
+def test_a_rejected_row_skips_the_rest(spark):
+    dear = quality.Rule("raises", lambda t: F.raise_error(F.lit("reached")).cast("boolean"))
+    first = quality.Rule("few", lambda t: t["n"] < 20)
+    df = spark.createDataFrame([("one two",)], "text string")
+    assert df.select(quality._verdict(F.col("text"), lambda t: quality.rejected([first, dear], t)).alias("x")).first().x is True
 
 
 @pytest.mark.parametrize("f", [secrets.digest, licenses.digest, bpe.digest, quality.cascade])
