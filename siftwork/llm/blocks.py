@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import segments as sg
-from siftwork.llm._shared import U64, rolled, settled, whole_runs, words_of
+from siftwork.llm._shared import BATCH_BYTES, U64, rolled, scratched, settled, whole_runs, words_of
 
 WINDOW, BLOCK = 20, 10
 
@@ -95,22 +95,17 @@ def repeats(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str
         raise ValueError("a window must be sure to hold a whole block")
     spark = df.sparkSession
     table, name = sg.pack(df, id_col, text_col)
-    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]) // 6)
+    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]) // 6, BATCH_BYTES // 6)
 
     def probe(seg: sg.Segment):
         w = _Words(seg, window, block)
         return w.keys, [w.sent()]
 
-    hits = settled(sg.ask(table, probe, shards, sg.met_elsewhere, [np.uint32]))
-
     def extend(seg: sg.Segment, bits):
         w = _Words(seg, window, block)
         x = _Windows(w, w.live(bits(w.keys, shards)), seg.ids, window, block)
         return x.keys, [x.keys, x.check, x.doc, x.start]
 
-    earlier = settled(sg.ask(table, extend, shards, sg.held_earlier, [np.uint64, np.uint32, np.int64, np.int32], hits))
-    both = sg.answered(sg.answered(table, hits).withColumnRenamed("answers", "hits"), earlier)
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -137,8 +132,14 @@ def repeats(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str
                     arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays if texts else arrays[:5], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "kept"][: 6 if texts else 5])
 
-    out = settled(both.mapInArrow(finish, f"id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>{', kept string' if texts else ''}"))
-    sg.dropped(spark, name)
+    try:
+        with scratched(spark) as keep:
+            hits = keep(sg.ask(table, probe, shards, sg.met_elsewhere, [np.uint32]))
+            earlier = keep(sg.ask(table, extend, shards, sg.held_earlier, [np.uint64, np.uint32, np.int64, np.int32], hits))
+            both = sg.answered(sg.answered(table, hits).withColumnRenamed("answers", "hits"), earlier)
+            out = settled(both.mapInArrow(finish, f"id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>{', kept string' if texts else ''}"))
+    finally:
+        sg.dropped(spark, name)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -4,21 +4,27 @@ A segment is an Arrow batch's worth of documents, compressed, in a table buckete
 move answers and not texts. A segment asks by sending each shard the sorted keys that it holds there; the shard compares
 the keys of all segments and answers each with one bit a key. Keys are unique within a segment, so a key that a third of
 all documents share weighs one entry a segment, and shards are even.
+
+A shard is read as a stream, row by row, and what it compares goes through a queue that keeps little in memory and the
+rest in a file of the task's, so it may be larger than memory. Shards are many enough that each is small, unless rows
+would hold fewer than LEAST_KEYS keys: then shards grow instead, so rows stay in proportion to keys at any size.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm._shared import BATCH_BYTES, U64, buffer_of, only, released, sliced
+from siftwork.llm.induced import Limits, Queue, blank
 
 #: Where rows without an id stand in the order of documents: last.
 NO_ID = np.iinfo(np.int64).max
@@ -32,22 +38,26 @@ class Segment:
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, most: int = BATCH_BYTES) -> tuple[DataFrame, str]:
-    """The segments of df as a bucketed table (seg, ids, none, at, blob) in the warehouse, and its name."""
+    """The segments of df as a bucketed table (seg, ids, none, at, blob) in the warehouse, one file a bucket, and its name.
+    A segment is named by its partition and its number there, so a task that runs again gives the same names."""
     spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in sliced(batches, most):
+        context = TaskContext.get()
+        first = (context.partitionId() if context is not None else 0) << 32
+        for k, b in enumerate(sliced(batches, most)):
             raw, at = buffer_of(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(object) if b.column(0).null_count else b.column(0).to_numpy()
             ids = np.array([NO_ID if x is None or x != x else int(x) for x in ids], np.int64) if ids.dtype == object else ids.astype(np.int64)
             none = np.flatnonzero(~np.asarray(b.column(0).is_valid())).astype(np.int32)
-            row = [pa.array([uuid.uuid4().int >> 65]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, none, at.astype(np.int64))], pa.array([squeeze.compress(raw.tobytes())], pa.binary())]
+            row = [pa.array([first + k]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, none, at.astype(np.int64))], pa.array([squeeze.compress(raw.tobytes())], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, names=["seg", "ids", "none", "at", "blob"])
 
     rows = only(df, id_col, text_col, text=text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     name = f"segments_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "seg long, ids binary, none binary, at binary, blob binary").write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "seg").format("parquet").saveAsTable(name)
+    rows.mapInArrow(run, "seg long, ids binary, none binary, at binary, blob binary").repartition(buckets, "seg").write.bucketBy(buckets, "seg").format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -82,11 +92,15 @@ def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, lows), [len(keys)]])
 
 
-def ask(table: DataFrame, question: Callable[[Segment], tuple[np.ndarray, list[np.ndarray]]], shards: int, compare: Callable[[list[list[np.ndarray]]], list[np.ndarray]], kinds: list[type], more: DataFrame | None = None) -> DataFrame:
+#: Columns of one row of a shard, in the order of its keys.
+Row = list[np.ndarray]
+
+
+def ask(table: DataFrame, question: Callable[[Segment], tuple[np.ndarray, list[np.ndarray]]], shards: int, compare: Callable[[Iterator[Row]], Iterator[np.ndarray]], kinds: list[type], more: DataFrame | None = None) -> DataFrame:
     """One round of questions: for each segment (seg, answers), answers being (shard, bits).
 
     question(segment, bits...) gives sorted distinct 64-bit keys and the columns to send, one item for each key. compare
-    gets the columns of all segments that have keys in one shard, and gives a Boolean array for each.
+    reads the rows of all segments that have keys in one shard, and gives a Boolean array for each, in their order.
     more: answers of an earlier round; question then gets them, in the order of that round's keys, as second argument.
     """
     again = more is not None
@@ -107,15 +121,33 @@ def ask(table: DataFrame, question: Callable[[Segment], tuple[np.ndarray, list[n
 
     names = [f"c{i}" for i in range(len(kinds))]
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [[unplaned(row[i + 2], kind) for i, kind in enumerate(kinds)] for row in rows[["shard", "seg", *names]].itertuples(index=False, name=None)]
-        out = pd.DataFrame({"seg": rows["seg"], "shard": rows["shard"], "bits": [np.packbits(x).tobytes() for x in compare(held)]})
-        del held
-        released()
-        return out
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for b in sliced(batches) for row in zip(*[b.column(c).to_pylist() for c in ("shard", "seg", *names)], strict=True))
+        for shard, rows in groupby(every, key=lambda row: row[0]):
+            segs: list[int] = []
+
+            def held(rows=rows, segs=segs) -> Iterator[Row]:
+                for row in rows:
+                    segs.append(row[1])
+                    yield [unplaned(x, kind) for x, kind in zip(row[2:], kinds, strict=True)]
+
+            told, size = [], 0
+            for k, x in enumerate(compare(held())):
+                told.append((segs[k], shard, np.packbits(x).tobytes()))
+                size += len(told[-1][2])
+                if size > BATCH_BYTES:
+                    yield _told(told)
+                    told, size = [], 0
+            if told:
+                yield _told(told)
+            released()
 
     sent = source.mapInArrow(send, "shard int, seg long, " + ", ".join(f"{n} binary" for n in names))
-    return sent.groupBy("shard").applyInPandas(meet, "seg long, shard int, bits binary")
+    return sent.repartition("shard").sortWithinPartitions("shard", "seg").mapInArrow(meet, "seg long, shard int, bits binary")
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["seg", "shard", "bits"])
 
 
 def answered(table: DataFrame, answers: DataFrame) -> DataFrame:
@@ -140,8 +172,14 @@ def bits_of(b: pa.RecordBatch, k: int) -> Callable[[np.ndarray, int], np.ndarray
     return of
 
 
-def shards_for(spark: SparkSession, items: int, each: int = 2_000_000) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-items // each))
+#: Keys of one segment that a shard gets at least, on average.
+LEAST_KEYS = 64
+
+
+def shards_for(spark: SparkSession, items: int, segment: int, each: int = 2_000_000) -> int:
+    """How many shards: a task each at least; as many as hold `each` items, but no more than leave a segment, of `segment`
+    items, LEAST_KEYS keys for each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-items // each), segment // LEAST_KEYS))
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,32 +190,57 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[begin], order, begin
 
 
-def met_elsewhere(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+def dealt(rows: Iterator[Row], bucket: Callable[[Row], np.ndarray], kinds: list, width: int, judge: Callable[[Row], np.ndarray], limits: Limits) -> Iterator[np.ndarray]:
+    """Answers for rows, by way of a queue: bucket gives each item's bucket, 0 to 255, and judge sees the columns of one
+    bucket's items at a time and says (items, width). The answers of each row follow, in order."""
+    queue, sizes = Queue([*kinds, np.int64], limits.room, True), []
+    n = 0
+    for row in rows:
+        m = len(row[0])
+        queue.push(bucket(row), [*row, np.arange(n, n + m)])
+        sizes.append(m)
+        n += m
+    out = blank(n * width, bool, limits.small).reshape(n, width)
+    while (b := queue.next()) is not None:
+        *columns, at = queue.pop(b)
+        out[at] = judge(columns).reshape(-1, width)
+    begin = 0
+    for m in sizes:
+        yield np.asarray(out[begin : begin + m]).ravel()
+        begin += m
+
+
+def met_elsewhere(rows: Iterator[Row], limits: Limits = Limits()) -> Iterator[np.ndarray]:
     """For columns of words (30 bits of key, then a flag that its segment has it twice, then one that an anchor has it):
     which keys stand in two places, one of them an anchor."""
-    word = np.concatenate([c[0] for c in held])
-    key = word >> np.uint32(2)
-    uniq, order, begin = distinct(key)
-    flags = word[order] & np.uint32(3)
-    count = np.diff(np.append(begin, len(word)))
-    twice = (count > 1) | (np.bitwise_or.reduceat(flags, begin) & 2 > 0) if len(begin) else np.zeros(0, bool)
-    anchored = np.bitwise_or.reduceat(flags, begin) & 1 > 0 if len(begin) else np.zeros(0, bool)
-    live = np.empty(len(word), bool)
-    live[order] = np.repeat(twice & anchored, count)
-    return np.split(live, np.cumsum([len(c[0]) for c in held])[:-1])
-
-
-def held_earlier(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+
+    def judge(columns: Row) -> np.ndarray:
+        (word,) = columns
+        uniq, order, begin = distinct(word >> np.uint32(2))
+        flags = np.bitwise_or.reduceat(word[order] & np.uint32(3), begin)
+        count = np.diff(np.append(begin, len(word)))
+        live = np.empty(len(word), bool)
+        live[order] = np.repeat(((count > 1) | (flags & 2 > 0)) & (flags & 1 > 0), count)
+        return live
+
+    return dealt(rows, lambda row: ((row[0] >> np.uint32(2)) & np.uint32(255)).astype(np.uint8), [np.uint32], 1, judge, limits)
+
+
+def held_earlier(rows: Iterator[Row], limits: Limits = Limits()) -> Iterator[np.ndarray]:
     """For columns (key, check, id, start), id and start being a segment's first place of a key: which keys another
     segment has at an earlier place."""
-    key, check, doc, start = (np.concatenate([c[i] for c in held]) for i in range(4))
-    order = np.lexsort((start, doc, check, key))
-    k, c, d, s = key[order], check[order], doc[order], start[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
-    out = np.empty(len(k), bool)
-    out[order] = (d > d[first]) | (s > s[first])
-    return np.split(out, np.cumsum([len(x[0]) for x in held])[:-1])
+
+    def judge(columns: Row) -> np.ndarray:
+        key, check, doc, start = columns
+        order = np.lexsort((start, doc, check, key))
+        k, c, d, s = key[order], check[order], doc[order], start[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        out = np.empty(len(k), bool)
+        out[order] = (d > d[first]) | (s > s[first])
+        return out
+
+    return dealt(rows, lambda row: (row[0] & U64(255)).astype(np.uint8), [np.uint64, np.uint32, np.int64, np.int32], 1, judge, limits)
 
 
 def spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -2,13 +2,14 @@
 
 A string of LENGTH bytes that two documents share holds the same minimizer (the least hash of its GRAM-byte grams) in
 both. A first round finds minimizers that stand in two places. A second sends each of their occurrences, with all that
-strings around it can cover, to the shard of its minimizer, and the shard sorts suffixes: equal strings stand at equal
-columns there, so a shard's suffix array is sorted column by column from the right. The order of column c is induced from
-that of c + 1: tuples (occurrence, common prefix with the one before) go through a priority queue keyed by the byte at c,
-first in first out, and leave it as c's order; common prefixes grow by one where bytes are equal and the least since the
-last tuple of the same byte is carried. Recursion ends at the last column. The queue keeps QUEUE bytes in memory and the
-rest in a file of the task's, so a shard may be far larger than memory. Neighbours of common prefix LENGTH or more are one
-string, and the smallest id among its documents keeps it.
+strings around it can cover, to the shard of its minimizer. Covers that are equal are one there, with the smallest id that
+has it; a minimizer with one cover needs no more. All other covers of the shard, one after another, are one string, whose
+suffixes are sorted by external induced sorting (module induced): recursive, with queues on disk that carry places and
+common prefixes. Neighbours of common prefix LENGTH or more hold one string, and the smallest id among its documents keeps
+it. Nothing in a shard need fit in memory: its rows are read as a stream, and covers, queues and lists are files.
+
+A minimizer that stands at more than MANY places of one segment is hot: its occurrences are sent as single strings, each
+under a key of its own, so they spread over all shards.
 
 Only documents with a smaller id count, so repeats within a document, or between rows of one id, stay; rows without an id
 come last. Null texts are empty. Other columns are ignored; empty tables give empty results. Ids are integers.
@@ -17,7 +18,6 @@ come last. Null texts are empty. Other columns are ignored; empty tables give em
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm import induced
 from siftwork.llm import segments as sg
-from siftwork.llm._shared import _BYTE, U64, mix, powers, released, settled
+from siftwork.llm._shared import _BYTE, U64, mix, powers, released, scratched, settled
 
 LENGTH, GRAM = 50, 24
 #: Strings of LENGTH around one gram, and the bytes that they cover.
@@ -34,8 +35,9 @@ STRINGS = LENGTH - GRAM + 1
 COVER = LENGTH + STRINGS - 1
 #: A byte that UTF-8 never has; fills what lies beyond a document's ends.
 BEYOND = 0xFF
-QUEUE = 256 << 20
-CHUNK = 1 << 18
+#: Places of a minimizer in one segment beyond which it is hot.
+MANY = 64
+SEGMENT = 2 << 20
 _SPAN = 1 << 18
 _BASE = 0xC2B2AE3D27D4EB4F
 _table: list[np.ndarray] = []
@@ -116,25 +118,36 @@ class _Bytes:
 
 
 class _Covers:
-    """What lies around the live anchors, distinct by bytes, with the smallest id that has it."""
+    """What lies around the live anchors, distinct by bytes, with the smallest id that has it. A hot anchor has instead, for
+    each string around it, a cover that begins and ends with the string."""
 
     def __init__(self, b: _Bytes, live: np.ndarray):
-        at, low, high = b.at[live], b.low[live], b.high[live]
-        self.first = at - (STRINGS - 1)
-        names = np.zeros(len(at), U64)
-        for byte in _columns(b.raw, self.first, low, high):  # by columns, so no table of places is held
+        times = np.diff(np.append(b.begin, len(b.at)))
+        hot = np.empty(len(b.at), bool)
+        hot[b.order] = np.repeat(times > MANY, times)
+        one, many = live & ~hot, live & hot
+        starts = (b.at[many][:, None] - np.arange(STRINGS)).ravel()
+        inside = (starts >= np.repeat(b.low[many], STRINGS)) & (starts + LENGTH <= np.repeat(b.high[many], STRINGS))
+        # one string can hold a hot minimizer twice
+        starts, first = np.unique(starts[inside], return_index=True)
+        doc = np.repeat(b.doc[many], STRINGS)[inside][first]
+        self.first = np.concatenate([b.at[one] - (STRINGS - 1), starts])
+        self.low, self.high = np.concatenate([b.low[one], starts]), np.concatenate([b.high[one], starts + LENGTH])
+        names = np.zeros(len(self.first), U64)
+        for byte in _columns(b.raw, self.first, self.low, self.high):  # by columns, so no table of places is held
             with np.errstate(over="ignore"):
                 names = names * U64(_BASE) + _BYTE[byte]
         names = mix(names)
-        self.doc = b.ids[b.doc[live]]
-        self.order = np.lexsort((self.doc, names, b.hash[live]))
-        k, m = b.hash[live][self.order], names[self.order]
+        key = np.concatenate([b.hash[one], mix(names[int(one.sum()) :] ^ U64(_BASE))])
+        self.doc = b.ids[np.concatenate([b.doc[one], doc])]
+        self.order = np.lexsort((self.doc, names, key))
+        k, m = key[self.order], names[self.order]
         self.begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])) if len(k) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.begin, len(k)))
         self.keys = k[self.begin]
         kept = self.order[self.begin]
         self.least = self.doc[kept]
-        self.kept = (b.raw, self.first[kept], low[kept], high[kept])
+        self.kept = (b.raw, self.first[kept], self.low[kept], self.high[kept])
 
     def text(self) -> np.ndarray:
         out = np.empty((len(self.keys), COVER), np.uint8)
@@ -153,174 +166,110 @@ def _columns(raw: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarr
         yield byte
 
 
-class Queue:
-    """A priority queue of suffix tuples keyed by a byte; equal keys leave in the order that they came. Runs beyond
-    `room` bytes go to a file that ends with the queue."""
-
-    def __init__(self, room: int = QUEUE):
-        self.room, self.held, self.runs, self.file = room, 0, [], None
-
-    def push(self, keys: np.ndarray, order: np.ndarray, items: np.ndarray, common: np.ndarray) -> None:
-        """order sorts keys, stably."""
-        cuts = np.searchsorted(keys[order], np.arange(257))
-        a, c = items[order], common[order]
-        self.held += a.nbytes + c.nbytes
-        if self.held > self.room:
-            self.file = self.file or tempfile.TemporaryFile()
-            where = self.file.seek(0, 2)
-            self.file.write(a.tobytes())
-            self.file.write(c.tobytes())
-            self.runs.append((cuts, where, len(a), None))
-            self.held -= a.nbytes + c.nbytes
-        else:
-            self.runs.append((cuts, a, c, True))
-
-    def _part(self, run, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        if run[3]:
-            return run[1][i:j], run[2][i:j]
-        self.file.seek(run[1] + 4 * i)
-        a = np.frombuffer(self.file.read(4 * (j - i)), np.uint32)
-        self.file.seek(run[1] + 4 * run[2] + i)
-        return a, np.frombuffer(self.file.read(j - i), np.uint8)
-
-    def popped(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All tuples in order, in chunks."""
-        a, c, n = [], [], 0
-        for key in range(256):
-            for run in self.runs:
-                i, j = int(run[0][key]), int(run[0][key + 1])
-                if i < j:
-                    x, y = self._part(run, i, j)
-                    a.append(x)
-                    c.append(y)
-                    n += j - i
-                    if n >= CHUNK:
-                        yield np.concatenate(a), np.concatenate(c)
-                        a, c, n = [], [], 0
-        if n:
-            yield np.concatenate(a), np.concatenate(c)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def _range_least(values: np.ndarray):
-    """A function to the least of values[i..j], both ends included, for arrays of i and j."""
-    n = len(values)
-    depth = n.bit_length()
-    levels = np.empty((depth, n), values.dtype)
-    levels[0] = values
-    for k in range(1, depth):
-        w = 1 << (k - 1)
-        np.minimum(levels[k - 1, :-w], levels[k - 1, w:], out=levels[k, :-w])
-    flat = levels.reshape(-1)
-
-    def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        k = np.frexp((j - i + 1).astype(np.float32))[1].astype(np.int64) - 1
-        base = k * n
-        return np.minimum(flat[base + i], flat[base + j + 1 - (np.int64(1) << k)])
-
-    return least
-
-
-def induced(chunks: Iterator[tuple[np.ndarray, np.ndarray]], column: np.ndarray, room: int = QUEUE) -> Queue:
-    """The order of suffixes at a column from that at the next one; column: each occurrence's byte there."""
-    out = Queue(room)
-    carried, seen = np.full(256, 255, np.uint8), np.zeros(256, bool)
-    for items, common in chunks:
-        byte = column[items]
-        order = np.argsort(byte, kind="stable")
-        sorted_byte = byte[order]
-        new = np.concatenate([[True], sorted_byte[1:] != sorted_byte[:-1]])
-        upto = np.minimum.accumulate(common)
-        grown = np.zeros(len(items), np.int16)
-        inner = np.flatnonzero(~new)
-        if len(inner):
-            grown[order[inner]] = 1 + _range_least(common)(order[inner - 1] + 1, order[inner]).astype(np.int16)
-        lead = order[new]
-        b = byte[lead]
-        grown[lead] = np.where(seen[b], 1 + np.minimum(carried[b], upto[lead]).astype(np.int16), 0)
-        # the least common prefix since each byte's last tuple goes on to the next chunk
-        carried = np.minimum(carried, upto[-1])
-        after = np.append(np.minimum.accumulate(common[::-1])[::-1][1:], 255).astype(np.uint8)
-        last = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
-        carried[b], seen[b] = after[last], True
-        out.push(byte, order, items, np.minimum(grown, 255).astype(np.uint8))
-    return out
-
-
-def suffix_orders(text: np.ndarray, columns: int, room: int = QUEUE) -> Iterator[tuple[int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    """(column, its suffixes' order with common prefixes, in chunks) for columns - 1 down to 0; text: a row a column."""
-    n = text.shape[1]
-    chunks = ((np.arange(a, min(n, a + CHUNK), dtype=np.uint32), np.zeros(min(n, a + CHUNK) - a, np.uint8)) for a in range(0, n, CHUNK))
-    last = None
-    for c in range(len(text) - 1, -1, -1):
-        q = induced(chunks, text[c], room)
-        if last is not None:
-            last.close()
-        if c < columns:
-            yield c, q.popped()
-        chunks, last = q.popped(), q
-    if last is not None:
-        last.close()
-
-
-def smaller_has(text: np.ndarray, doc: np.ndarray, room: int = QUEUE) -> np.ndarray:
-    """For covers (a row a column) and their documents: which of a cover's strings a smaller document's cover has."""
-    n = text.shape[1]
-    out = np.zeros((n, STRINGS), bool)
-    for c, chunks in suffix_orders(text, STRINGS, room):
-        item, least = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for items, common in chunks:
-            # a group that a chunk cuts is kept back until it is whole
-            start = np.flatnonzero(common < LENGTH)
-            head = int(start[0]) if len(start) else len(items)
-            item = np.concatenate([item, items[:head]])
-            if not len(start):
-                continue
-            least = np.minimum.reduceat(doc[item], [0]) if len(item) else least
-            if len(item):
-                out[item, c] = doc[item] > least[0]
-            whole = items[head : int(start[-1])]
-            if len(whole):
-                cut = start[:-1] - head
-                low = np.minimum.reduceat(doc[whole], cut)
-                out[whole, c] = doc[whole] > np.repeat(low, np.diff(np.append(cut, len(whole))))
-            item = items[int(start[-1]) :]
-        if len(item):
-            out[item, c] = doc[item] > doc[item].min()
-    return out
-
-
-def _meet(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-    text = np.concatenate([h[0] for h in held])
-    doc = np.concatenate([h[1] for h in held])
-    columns = np.ascontiguousarray(text.view(np.uint8).reshape(len(text), COVER).T)
-    bits = smaller_has(columns, doc)
-    return [x.ravel() for x in np.split(bits, np.cumsum([len(h[1]) for h in held])[:-1])]
+def smaller_has(rows: Iterator[sg.Row], limits: induced.Limits = induced.Limits(deep=LENGTH)) -> Iterator[np.ndarray]:
+    """For covers and their documents, in rows: which of a cover's strings a smaller document's cover has, row by row."""
+    texts, queue, sizes = induced.Growing(np.uint8, limits.small), induced.Queue([np.uint64, np.uint64, np.int64, np.int64], limits.room, True), []
+    n = 0
+    for cover, doc in rows:
+        flat = cover.view(np.uint8).reshape(len(cover), COVER)
+        gram, name = _hashed(flat[:, STRINGS - 1 : STRINGS - 1 + GRAM]), _hashed(flat)
+        queue.push((gram >> U64(56)).astype(np.uint8), [gram, name, doc, np.arange(n, n + len(cover))])
+        texts.add(flat.ravel())
+        sizes.append(len(cover))
+        n += len(cover)
+
+    # equal covers are one class; those of a gram with several classes are sorted
+    later, number = induced.blank(n, bool, limits.small), induced.blank(n, np.int64, limits.small)
+    sorted_ones, least_of = induced.Growing(np.int64, limits.small), induced.Growing(np.int64, limits.small)
+    while (bucket := queue.next()) is not None:
+        gram, name, doc, at = queue.pop(bucket)
+        order = np.lexsort((at, doc, name, gram))
+        g, m, d, at = gram[order], name[order], doc[order], at[order]
+        new_gram = np.concatenate([[True], g[1:] != g[:-1]])
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (m[1:] != m[:-1])])
+        kind = np.cumsum(new) - 1
+        gram_of = np.cumsum(new_gram)[new] - 1
+        several = np.bincount(gram_of)[gram_of] > 1
+        place = np.where(several, np.cumsum(several) + sorted_ones.n, 0)  # from 1; 0: not sorted
+        later[at] = d > d[new][kind]
+        number[at] = place[kind]
+        sorted_ones.add(at[new][several])
+        least_of.add(d[new][several])
+
+    bits = _strings(texts.array(), sorted_ones.array(), least_of.array(), limits)
+    begin = 0
+    for m in sizes:
+        k = np.asarray(number[begin : begin + m])
+        told = np.where(k > 0, bits[np.maximum(k - 1, 0)], 0) if len(bits) else np.zeros(m, np.uint32)
+        out = (told[:, None] >> np.arange(STRINGS, dtype=np.uint32)) & 1 > 0
+        out[np.asarray(later[begin : begin + m])] = True
+        yield out.ravel()
+        begin += m
+
+
+def _hashed(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), U64)
+    with np.errstate(over="ignore"):
+        for j in range(rows.shape[1]):
+            out = out * U64(_BASE) + _BYTE[rows[:, j]]
+    return mix(out)
+
+
+def _strings(texts: np.ndarray, chosen: np.ndarray, least: np.ndarray, limits: induced.Limits) -> np.ndarray:
+    """For the chosen covers, bit c: a cover of a smaller document has the string at column c."""
+    n = len(chosen)
+    bits = induced.blank(n, np.uint32, limits.small)
+    if not n:
+        return bits
+    whole = induced.Growing(np.uint8, limits.small)
+    texts = texts.reshape(-1, COVER)
+    step = max(1, limits.chunk // (COVER + 1))
+    for i in range(0, n, step):
+        part = np.full((min(step, n - i), COVER + 1), BEYOND, np.uint8)  # a byte between covers that no text has
+        part[:, :COVER] = texts[np.asarray(chosen[i : i + step])]
+        whole.add(part.ravel())
+
+    def said(cover: np.ndarray, column: np.ndarray, doc: np.ndarray, smallest: np.ndarray) -> None:
+        hit = (doc > smallest) & (column < STRINGS)
+        np.bitwise_or.at(bits, cover[hit], np.uint32(1) << column[hit].astype(np.uint32))
+
+    held = np.zeros(0, np.int64)  # a group that a part cuts is kept back until it is whole
+    for places, common in induced.suffixes(whole.array(), 255, limits, True):
+        held = _groups(held, places.astype(np.int64), common, least, said)
+    _groups(held, np.zeros(0, np.int64), np.zeros(0, np.uint8), least, said)
+    return bits
+
+
+def _groups(held: np.ndarray, places: np.ndarray, common: np.ndarray, least: np.ndarray, said) -> np.ndarray:
+    """Tells of every group of suffixes with a common prefix of LENGTH that is complete; the places of the last one."""
+    start = np.flatnonzero(common < LENGTH)
+    if len(places) and not len(start):
+        return np.concatenate([held, places])
+    whole = np.concatenate([held, places[: start[-1]]]) if len(start) else held
+    cut = np.concatenate([[0], start[:-1] + len(held)]) if len(start) else np.zeros(1, np.int64)
+    if len(whole):
+        cut = np.unique(cut[cut < len(whole)])
+        doc = np.asarray(least[whole // (COVER + 1)])
+        smallest = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.append(cut, len(whole))))
+        said(whole // (COVER + 1), whole % (COVER + 1), doc, smallest)
+    return places[start[-1] :] if len(start) else places
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes)."""
     spark = df.sparkSession
-    table, name = sg.pack(df, id_col, text_col, 2 << 20)
-    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // 14, 400_000)
+    table, name = sg.pack(df, id_col, text_col, SEGMENT)
+    shards = sg.shards_for(spark, int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // 14, SEGMENT // 14, 400_000)
 
     def anchors(seg: sg.Segment):
         b = _Bytes(seg)
         return b.keys, [b.sent()]
 
-    found = settled(sg.ask(table, anchors, shards, sg.met_elsewhere, [np.uint32]))
-
     def covers(seg: sg.Segment, bits):
         b = _Bytes(seg)
         c = _Covers(b, b.live(bits(b.keys, shards)))
         return c.keys, [c.text(), c.least]
 
-    shared = settled(sg.ask(table, covers, shards, _meet, [f"V{COVER}", np.int64], found))
-    both = sg.answered(sg.answered(table, found).withColumnRenamed("answers", "found"), shared)
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -328,7 +277,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
                 b = _Bytes(seg)
                 live = b.live(sg.bits_of(batch.select(["found"]).rename_columns(["answers"]), k)(b.keys, shards))
                 c = _Covers(b, live)
-                gone = _gone(b, c, live, sg.bits_of(batch, k)(c.keys, shards, STRINGS))
+                gone = _gone(b, c, sg.bits_of(batch, k)(c.keys, shards, STRINGS))
                 del b, c, live
                 none = set(np.frombuffer(batch.column("none")[k].as_py(), np.int32).tolist())
                 out = []
@@ -344,18 +293,24 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
                     yield pa.RecordBatch.from_arrays(arrays[: 6 if texts else 5], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
                 released()
 
-    out = settled(both.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if texts else ''}"))
-    sg.dropped(spark, name)
+    try:
+        with scratched(spark) as keep:
+            found = keep(sg.ask(table, anchors, shards, sg.met_elsewhere, [np.uint32]))
+            shared = keep(sg.ask(table, covers, shards, smaller_has, [f"V{COVER}", np.int64], found))
+            both = sg.answered(sg.answered(table, found).withColumnRenamed("answers", "found"), shared)
+            out = settled(both.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if texts else ''}"))
+    finally:
+        sg.dropped(spark, name)
     return out.withColumnRenamed("id", id_col)
 
 
-def _gone(b: _Bytes, c: _Covers, live: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _gone(b: _Bytes, c: _Covers, bits: np.ndarray) -> np.ndarray:
     """Which bytes of a segment a repeated string covers."""
     if not len(c.keys):
         return np.zeros(len(b.raw), bool)
     cover = np.repeat(np.arange(len(c.keys)), c.size)
     later = c.doc[c.order] > c.least[cover]
-    first, low, high = c.first[c.order], b.low[live][c.order], b.high[live][c.order]
+    first, low, high = c.first[c.order], c.low[c.order], c.high[c.order]
     mark = np.zeros(len(b.raw), bool)
     for j in range(STRINGS):
         at = first + j

@@ -1,11 +1,16 @@
 """Byte repeats against all strings, and the induced suffix orders against plain sorting."""
 
 import hashlib
+import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from siftwork.llm import induced
 from siftwork.llm import suffixes as sx
 
 
@@ -48,35 +53,107 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert got == [(-1, 62), (4, 0), (4, 0), (9, 62)]
 
 
-@pytest.mark.parametrize("room,chunk", [(1 << 20, 1 << 18), (64, 7), (0, 3), (1 << 20, 1)])
-def test_orders_are_suffix_orders_in_memory_and_on_disk(monkeypatch, room, chunk):
-    monkeypatch.setattr(sx, "CHUNK", chunk)
+SMALL = induced.Limits(room=64, chunk=5, base=2, deep=10_000, small=16)
+DISK = induced.Limits(room=2000, chunk=64, base=8, deep=sx.LENGTH, small=256)
+
+
+def common_prefix(a, b):
+    return next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("limits", [induced.Limits(deep=10_000), SMALL])
+def test_suffixes_come_out_in_order_with_common_prefixes(limits):
     rng = np.random.default_rng(4)
-    text = rng.integers(97, 99, (12, 60)).astype(np.uint8)
-    text[:, 30:45] = text[:, :15]
-    columns = [bytes(text[:, i]) for i in range(text.shape[1])]
-    for c, chunks in sx.suffix_orders(text, 12, room):
-        parts = list(chunks)
-        items, common = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-        suffixes = [columns[i][c:] for i in items]
-        assert suffixes == sorted(suffixes)
-        for k in range(1, len(items)):
-            a, b = suffixes[k - 1], suffixes[k]
-            assert common[k] == next((j for j in range(len(a)) if a[j] != b[j]), len(a))
-
-
-@pytest.mark.parametrize("room,chunk", [(1 << 20, 1 << 18), (100, 5)])
-def test_smaller_has_is_exact(monkeypatch, room, chunk):
-    monkeypatch.setattr(sx, "CHUNK", chunk)
+    cases = [rng.integers(97, 97 + k, n).astype(np.uint8) for k, n in [(1, 30), (2, 60), (2, 200), (4, 150), (26, 80), (1, 1), (2, 2)]]
+    cases += [np.frombuffer(b, np.uint8) for b in (b"banana" * 9, b"mississippi" * 5 + b"m", b"abc" * 20 + b"zz" * 11 + b"a" * 17, bytes(range(40)), bytes(range(40, 0, -1)))]
+    for x in cases:
+        got = [(p, c) for a, b in induced.suffixes(x, 255, limits, True) for p, c in zip(a.tolist(), b.tolist(), strict=True)]
+        text = x.tobytes()
+        assert [p for p, _ in got] == sorted(range(len(x)), key=lambda i, text=text: text[i:], reverse=True)
+        for (p, _), (q, c) in itertools.pairwise(got):
+            assert c == common_prefix(text[p:], text[q:])
+
+
+@pytest.mark.parametrize("limits", [induced.Limits(deep=10_000), SMALL])
+def test_strings_of_many_symbols_are_sorted_too(limits):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 50, 300):
+        x = rng.integers(0, 5000, n)
+        x = np.concatenate([x, x[: n // 2], x])
+        got = [p for a, _ in induced.suffixes(x, 5000, limits) for p in a.tolist()]
+        assert got == sorted(range(len(x)), key=lambda i, x=x: x[i:].tolist(), reverse=True)
+
+
+def test_queues_keep_order_on_disk():
+    rng = np.random.default_rng(6)
+    q, want = induced.Queue([np.int64], 200, True), {}
+    for k in range(40):
+        b = rng.integers(0, 9, 7)
+        q.push(b, [np.arange(7) + 7 * k])
+        for i, x in enumerate(b.tolist()):
+            want.setdefault(x, []).append(i + 7 * k)
+    assert q.spilled > 0
+    got = {}
+    while (b := q.next()) is not None:
+        got.setdefault(b, []).extend(q.pop(b, 5)[0].tolist())
+    assert got == want and list(got) == sorted(got)
+
+
+@pytest.mark.parametrize("limits", [induced.Limits(deep=sx.LENGTH), DISK])
+def test_smaller_has_is_exact(limits):
     rng = np.random.default_rng(9)
     base = rng.integers(97, 100, (6, sx.COVER)).astype(np.uint8)
-    rows = base[rng.integers(0, 6, 40)].copy()
+    base[3:, sx.STRINGS - 1 : sx.STRINGS - 1 + sx.GRAM] = base[:3, sx.STRINGS - 1 : sx.STRINGS - 1 + sx.GRAM]
+    rows = base[rng.integers(0, 6, 60)].copy()
     for r in rows:
         if rng.random() < 0.7:
-            r[rng.integers(0, sx.COVER)] = 120
-    doc = rng.integers(0, 12, 40)
-    got = sx.smaller_has(np.ascontiguousarray(rows.T), doc, room)
-    for i in range(40):
+            r[rng.choice([*range(sx.STRINGS - 1), *range(sx.STRINGS - 1 + sx.GRAM, sx.COVER)])] = 120
+    doc = rng.integers(0, 20, 60)
+    held = [(rows[i:j].copy().view(f"V{sx.COVER}").reshape(-1), doc[i:j]) for i, j in ((0, 25), (25, 26), (26, 60))]
+    got = np.concatenate(list(sx.smaller_has(iter(held), limits))).reshape(60, sx.STRINGS)
+    grams = [bytes(r[sx.STRINGS - 1 : sx.STRINGS - 1 + sx.GRAM]) for r in rows]
+    for i in range(60):
         for c in range(sx.STRINGS):
             w = bytes(rows[i, c : c + sx.LENGTH])
-            assert got[i, c] == any(doc[k] < doc[i] and bytes(rows[k, c : c + sx.LENGTH]) == w for k in range(40))
+            assert got[i, c] == any(doc[k] < doc[i] and grams[k] == grams[i] and bytes(rows[k, c : c + sx.LENGTH]) == w for k in range(60)), (i, c)
+
+
+def test_a_shard_larger_than_queue_and_memory():
+    """The covers alone exceed what the process may allocate; files take the rest."""
+    code = f"""
+import resource, sys
+import numpy as np
+sys.path.insert(0, {str(Path(sx.__file__).parents[2])!r})
+from siftwork.llm import induced, suffixes as sx
+limits = induced.Limits(room=1 << 20, chunk=1 << 14, base=1 << 15, deep=sx.LENGTH, small=1 << 18)
+rng = np.random.default_rng(1)
+base = rng.integers(97, 123, (500, sx.COVER)).astype(np.uint8)
+def rows():
+    for k in range(400):
+        r = base.copy()
+        r[np.arange(500), np.where(rng.random(500) < 0.5, 0, sx.COVER - 1)] = 65 + k % 57
+        yield r.view(f"V{{sx.COVER}}").reshape(-1), np.full(500, k)
+list(sx.smaller_has(iter([next(rows())]), limits))
+used = next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmData")) << 10
+resource.setrlimit(resource.RLIMIT_DATA, (used + {12 << 20}, -1))
+try:
+    np.ones({400 * 500 * sx.COVER}, np.uint8).sum()
+    raise SystemExit("the limit doesn't hold")
+except MemoryError:
+    pass
+n = sum(int(x.reshape(500, -1)[:, 1:sx.STRINGS - 1].all(axis=1).sum()) for x in sx.smaller_has(rows(), limits))
+print(n)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) == 399 * 500
+
+
+def test_hot_minimizers_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sx, "MANY", 2)
+    rng = random.Random(7)
+    common = "thequickbrownfoxjumpsoverthelazydog"
+    side = ["".join(rng.choice("abc") for _ in range(14)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(side) + common + rng.choice(side) for _ in range(3))) for i in range(60)]
+    got = {r.doc_id: tuple(r)[1:] for r in sx.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain(rows)
