@@ -9,11 +9,14 @@ BANDS bands of ROWS coordinates make two sets of Jaccard 0.8 meet with a chance
 ten million. Every two sets that share a band and that nothing else has linked are verified on full sets, and sets that
 share none are not, however many others lie between them:
 
-* first each member of a band with the band's smallest id, a row for each such pair, the sets of a common hub sent once for
-  CHUNK members;
+* first each member of a band with the band's smallest id, a row for each such pair. The members of a common hub are cut
+  into parts of about CHUNK, each of which gets the hub's set, and all sets of a part meet, so that the members of a large
+  group are linked to one another where few are near the hub;
 * then, in bands of three or more members that these links leave in several components, all members of different ones.
-  Members of the largest component meet the others only. Members are cut into blocks of CHUNK sets and two blocks meet in
-  one task, which counts intersections through an inverted index and returns a forest of links. No cap, no pair list.
+  Members of the largest component meet the others only. Members are cut into blocks, of CHUNK sets or, if there are many,
+  of as many as there are blocks, and two blocks meet in one task. No cap, no pair list.
+
+Both count intersections through an inverted index, in tasks of bounded size, and return a forest of links.
 
 What travels are sets of hashes; texts are read once to sign them and once, where a band is shared, to write the sets.
 
@@ -181,29 +184,8 @@ def _edges(a: list, z: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(z, kind)], names=["a", "b"])
 
 
-def _with_hub(percent: int, kind: pa.DataType):
-    """Rows (least, part, hub, rep, set), each hub before the members of its part: the members that are near it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
-        for b in sliced(batches):
-            a, z = [], []
-            for least, part, is_member, rep, packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                s = _set_of(packed)
-                if not is_member:
-                    hub, own = (least, part), s
-                elif hub == (least, part):
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        a.append(least)
-                        z.append(rep)
-            yield _edges(a, z, kind)
-
-    return run
-
-
 def _in_blocks(percent: int, kind: pa.DataType):
-    """Rows (band, i, j, block, label, rep, set): links between the members of blocks i and j, or within one."""
+    """Rows (band, i, j, block, label, rep, set): links between the members of blocks i and j, or within one (i = j)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, held = None, []
@@ -259,10 +241,11 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
         stars = keep(met.where("rep <> least").select("least", "rep").distinct())
         hubs = stars.groupBy("least").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-        spokes = stars.join(hubs, "least").select("least", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_member"), "rep")
-        centres = hubs.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_member"), F.col("least").alias("rep"))
-        pairs = spokes.unionByName(centres).join(sets.withColumnRenamed("id", "rep"), "rep").select("least", "part", "is_member", "rep", "set")
-        near = keep(pairs.repartition("least", "part").sortWithinPartitions("least", "part", "is_member").mapInArrow(_with_hub(percent, kind), said))
+        spokes = stars.join(hubs, "least").select("least", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
+        centres = hubs.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("least").alias("rep"))
+        alone = F.col("rep").alias("label")
+        parts = spokes.unionByName(centres).join(sets.withColumnRenamed("id", "rep"), "rep").select("least", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("block"), alone, "rep", "set")
+        near = keep(parts.repartition("least", "i").sortWithinPartitions("least", "i").mapInArrow(_in_blocks(percent, kind), said))
         cleared(spark, stars)
 
         # what bands of three or more members hold beyond their hubs' links
@@ -275,7 +258,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         rest = crowd.join(open_bands, "band")
         sizes = rest.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         most = sizes.groupBy("band").agg(F.max(F.struct("c", "label", "s")).alias("big"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-        blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / CHUNK), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+        blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(c)))), F.ceil(s / CHUNK_SHINGLES)).cast("int")
         cut = keep(most.select("band", F.col("big.label").alias("big"), blocks(F.col("big.c"), F.col("big.s")).alias("majors"), blocks(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("minors")))
         placed = rest.join(cut, "band").withColumn("major", F.col("label") == F.col("big"))
         placed = placed.withColumn("block", F.when(F.col("major"), -1 - F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int"))
