@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.functions import tokens
+from siftwork.functions.text import let
+
 SHAPE = "loc string, arr string, sen string, tech array<string>, comp string, loc_raw string, arr_raw string, sen_raw string, tech_raw string, comp_raw string"
 
 
@@ -35,11 +36,14 @@ def closed(c: Column) -> Column:
 
 def parsed(c: Column, shape: str = SHAPE) -> Column:
     """The first of three readings that is an object: as it stands, from the first to the last brace, closed. Else null."""
-    text = fixed_text(c)
-    inner = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    rest = closed(F.regexp_extract(text, r"\{[\s\S]*", 0))
     whole = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.rlike(x, F.lit(r"^\s*\{")), F.from_json(x, shape))
-    return F.coalesce(whole(text), whole(inner), whole(rest))
+
+    def read(text: Column) -> Column:
+        inner = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+        rest = let(F.regexp_extract(text, r"\{[\s\S]*", 0), closed)
+        return F.coalesce(let(text, whole), let(inner, whole), let(rest, whole))
+
+    return let(fixed_text(c), read)
 
 
 def salvaged(c: Column, fields: list[str], closed: bool = False) -> Column:
@@ -96,41 +100,20 @@ def preprocessed(c: Column) -> Column:
     return F.trim(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "\n"))
 
 
-PAY = re.compile(r"£|\bsalary\b|\bper annum\b|\bcompensation\b", re.I)
-
-
-def truncate(text: str, most: int) -> str:
-    """Text within about `most` tokens of four characters: words go from the middle of the longest stretch that isn't
-    among the first 300 words, the last 200 or near a word about pay."""
-    if -(-len(text) // 4) <= most:
-        return text
-    words = text.split()
-    n, goal = len(words), most * 4 // 6
-    cut = n - goal
-    head, tail = min(300, goal // 2), min(200, goal // 3)
-    kept = [i < head or i >= n - tail for i in range(n)]
-    for i, w in enumerate(words):
-        if PAY.search(w):
-            kept[max(0, i - 50) : i + 51] = [True] * len(kept[max(0, i - 50) : i + 51])
-    best, start = (0, 0), None
-    for i, k in enumerate([*kept, True]):
-        if not k and start is None:
-            start = i
-        elif k and start is not None:
-            best, start = max(best, (i - start, start)), None
-    if not best[0] or cut <= 0:
-        return text[: most * 4] + " [...]"
-    gone = min(cut, best[0])
-    a = best[1] + (best[0] - gone) // 2
-    return " ".join([*words[:a], "[...]", *words[a + gone :]])
-
-
-def truncated(c: Column, most: int) -> Column:
-    """Texts that are short enough don't reach Python."""
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else truncate(t, most))
-
-    long = F.ceil(F.length(c) / 4) > most
-    return F.when(long, run(F.when(long, c))).otherwise(c)
+def cascade(df: DataFrame, raw_col: str) -> DataFrame:
+    """df with status (ok, invalid_token, parse_fail) and the tokens of an output: parsed, or where that fails salvaged
+    field by field; validated, or where that fails salvaged. Each step is a projection, so it is made once."""
+    shape = "struct<loc: string, arr: string, sen: string, tech: array<string>, comp: string>"
+    plain = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{f}").alias(f) for f in tokens.FIELDS]).cast(shape))
+
+    def checked(c: str) -> Column:
+        said = tokens.validated(*[F.col(f"{c}.{f}") for f in tokens.FIELDS])
+        return F.struct(F.coalesce(said["valid"], F.lit(False)).alias("valid"), *[said[f].alias(f) for f in tokens.FIELDS])
+
+    out = df.withColumn("_text", without_thought(F.col(raw_col)))
+    out = out.withColumns({"_got": parsed(F.col("_text")), "_spare": salvaged(F.col("_text"), ["loc", "arr", "sen", "comp"])})
+    out = out.withColumns({"_got": plain("_got"), "_spare": plain("_spare")})
+    out = out.withColumns({"_first": F.coalesce("_got", "_spare")}).withColumns({"_own": checked("_first"), "_back": checked("_spare")})
+    status = F.when(F.col("_first").isNull(), "parse_fail").when(F.col("_own.valid") | F.col("_back.valid"), "ok").otherwise("invalid_token")
+    fields = {f: F.when(F.col("_own.valid"), F.col(f"_own.{f}")).when(F.col("_back.valid"), F.col(f"_back.{f}")) for f in tokens.FIELDS}
+    return out.withColumns({"status": status, **fields}).drop("_text", "_got", "_spare", "_first", "_own", "_back")

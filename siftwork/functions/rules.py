@@ -1,7 +1,7 @@
 """Rule classifiers: ordered regex rules from an advert to tokens, as CASE expressions that stop at the first rule that holds.
 
-Two need match positions (the AI vetoes, which look at the surroundings of each match, and the first valid salary); these
-are Arrow UDFs over the texts that can matter at all, everything else is an expression.
+One needs match positions and order (the first valid salary) and is an Arrow UDF over the texts that can matter at all;
+everything else is an expression.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.functions.text import text_of
+from siftwork.functions.text import contexts, let, text_of
 
 # Place names and patterns that decide tokens.
 UK_CITIES = [
@@ -112,29 +112,22 @@ def seniority(title: Column, senior: str = "LEVEL_3", default: str = "LEVEL_2")
     return F.when(F.rlike(t, F.lit(LEVEL_3)), "LEVEL_3").when(F.rlike(t, F.lit(SENIOR)), senior).otherwise(default)
 
 
-def _all_talk(text: str, found: list[re.Match], talk: re.Pattern) -> bool:
-    return all(talk.search(text[max(0, m.start() - 80) : m.end() + 80]) for m in found)
+def _work(t: Column, terms: str) -> Column:
+    """Whether some term stands outside company talk, which shows within 80 characters of it."""
+    talk = "(?d)" + "|".join(f"(?:{p})" for p in AI_TALK)
+    return F.exists(contexts(t, terms, 80), lambda c: ~F.rlike(c, F.lit(talk)))
 
 
-def ai_work(text: str) -> bool:
-    """Whether a lower-case text is about AI work: some strong term, or failing any, a weak one, outside company talk."""
-    talk = re.compile("|".join(f"(?:{p})" for p in AI_TALK))
-    found = list(re.finditer(AI_STRONG, text)) or list(re.finditer(AI_WEAK, text))
-    return bool(found) and not _all_talk(text, found, talk)
-
-
-@F.pandas_udf(T.BooleanType())
-def _ai_work(texts: pd.Series) -> pd.Series:
-    return texts.map(ai_work)
+def ai_work(t: Column) -> Column:
+    """Whether a lower-case text is about AI work: by its strong terms if it has any, else by its weak ones."""
+    return F.when(F.rlike(t, F.lit(AI_STRONG)), _work(t, AI_STRONG)).when(F.rlike(t, F.lit(AI_WEAK)), _work(t, AI_WEAK)).otherwise(False)
 
 
 def stack(text: Column, title: Column) -> Column:
-    """NODE, REACT, JS_TS, AI_ML that hold, in this order, or OOS. Texts without any AI term don't reach Python."""
-    t = F.lower(F.concat_ws(" ", text_of(title), text_of(text)))
-    maybe = F.rlike(t, F.lit(f"{AI_STRONG}|{AI_WEAK}"))
-    ai = maybe & F.coalesce(_ai_work(F.when(maybe, t).otherwise("")), F.lit(False))
-    got = F.array_compact(F.array(F.when(F.rlike(t, F.lit(NODE)), "NODE"), F.when(F.rlike(t, F.lit(REACT)), "REACT"), F.when(F.rlike(t, F.lit(JS_TS)), "JS_TS"), F.when(ai, "AI_ML")))
-    return F.when(F.size(got) == 0, F.array(F.lit("OOS"))).otherwise(got)
+    """NODE, REACT, JS_TS, AI_ML that hold, in this order, or OOS. The joined text and the tokens are made once."""
+    has = lambda t, p, token: F.when(F.rlike(t, F.lit(p)), token)
+    got = let(F.lower(F.concat_ws(" ", text_of(title), text_of(text))), lambda t: F.array_compact(F.array(has(t, NODE, "NODE"), has(t, REACT, "REACT"), has(t, JS_TS, "JS_TS"), F.when(ai_work(t), "AI_ML"))))
+    return let(got, lambda x: F.when(F.size(x) == 0, F.array(F.lit("OOS"))).otherwise(x))
 
 
 def amount(s: str) -> float | None:

@@ -23,6 +23,11 @@ KEEP_FACTS = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -135,8 +140,11 @@ def clean_location(c: Column) -> Column:
 
 def contexts(c: Column, pattern: str, width: int = 50) -> Column:
     """Every match with up to width characters on either side; contexts of near matches overlap."""
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pieces = F.split(c, pattern)
+    return contexts_between(c, pattern, width, width)
+
+
+def contexts_between(c: Column, pattern: str, before: int, after: int, most: int | None = None) -> Column:
+    """Matches, the first `most` or all, with up to so many characters before and after each."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,n:int>>").alias("out"))
 
     def step(acc, x):
@@ -144,43 +152,10 @@ def contexts(c: Column, pattern: str, width: int = 50) -> Column:
         n = F.length(x["m"])
         return F.struct((s + n).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), n.alias("n")))).alias("out"))
 
-    places = F.aggregate(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), start, step)["out"]
-    return F.transform(places, lambda x: F.substr(c, F.greatest(F.lit(1), x["s"] + 1 - width), x["n"] + width + F.least(x["s"], F.lit(width))))
-
-
-def chunks(text: Column) -> Column:
-    """Lines where there are eight or more, else sentences."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(lines) >= 8, lines).otherwise(sentences(text))
-
-
-def chunk_score(s: Column) -> Column:
-    """Salary 6, place 5, stack 4, seniority 3, requirement 2, bullet 1; company talk -8, very short -1."""
-    hit = lambda p, n: F.when(F.rlike(s, F.lit(p)), n).otherwise(0)
-    return (
-        hit(r"(?i)£|\bsalary\b|\bper annum\b|\bper day\b", 6)
-        + hit(r"(?i)\blondon\b|\bremote\b|\bhybrid\b|\bon-?site\b|\buk\b", 5)
-        + hit(r"(?i)\bnode|\breact|\btypescript\b|\bjavascript\b|\bmachine learning\b|\bai\b", 4)
-        + hit(r"(?i)\bsenior\b|\blead\b|\bprincipal\b|\bstaff\b|\bjunior\b", 3)
-        + hit(r"(?i)\brequire|\bmust have\b|\bexperience\b", 2)
-        + hit(r"^\s*[-*•]", 1)
-        - hit(r"(?i)" + "|".join(DROP_FACTS), 8)
-        - F.when(F.length(s) < 20, 1).otherwise(0)
-    )
-
-
-def ranked(text: Column, least: int = 3, most: int = 2200) -> Column:
-    """The first chunk and the best others that fit a budget of characters, in the order of the text."""
-    cs = F.array_distinct(chunks(text))
-    scored = F.transform(cs, lambda c, i: F.struct((-chunk_score(c)).alias("s"), i.alias("i"), c.alias("c")))
-    first = F.filter(scored, lambda x: x["i"] == 0)
-    rest = F.sort_array(F.filter(scored, lambda x: (x["i"] > 0) & (x["s"] <= -least)))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,c:string>>").alias("kept"))
-
-    def step(acc, x):
-        n = F.length(x["c"]) + 1
-        fits = acc["used"] + n <= most
-        return F.when(fits, F.struct((acc["used"] + n).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["i"].alias("i"), x["c"].alias("c")))).alias("kept"))).otherwise(acc)
+    def placed(found: Column) -> Column:
+        got = F.slice(found, 1, most) if most else found
+        pieces = F.slice(F.split(c, pattern), 1, F.size(got))
+        places = F.aggregate(F.zip_with(pieces, got, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), start, step)["out"]
+        return F.transform(places, lambda x: F.substr(c, F.greatest(F.lit(1), x["s"] + 1 - before), x["n"] + after + F.least(x["s"], F.lit(before))))
 
-    kept = F.aggregate(F.concat(first, rest), start, step)["kept"]
-    return F.substring(F.array_join(F.transform(F.sort_array(kept), lambda x: x["c"]), " "), 1, most)
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), placed)

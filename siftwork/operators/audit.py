@@ -58,3 +58,15 @@ def quarantine(found: DataFrame) -> DataFrame:
     """Each issue with the bucket of its side output."""
     bucket = F.when(F.col("check").startswith("duplicate"), "duplicates").when(F.col("severity") == "critical", "bad_data").otherwise("suspicious")
     return found.withColumn("bucket", bucket)
+
+
+def distribution_issues(df: DataFrame, half: float = 0.5, cap: float = 0.05, boundary: float = 0.15) -> DataFrame:
+    """check, subject and pct: tokens above half of all rows, sources above their cap, and a boundary zone that is too small."""
+    total = df.agg(F.count("*").alias("total"), F.count_if(F.col("score").between(50, 74)).alias("edge"))
+    pct = lambda n: F.round(100.0 * n / F.col("total"), 1)
+    tokens = df.select(F.explode(F.array(*[F.concat_ws("=", F.lit(f), F.coalesce(F.col(f), F.lit("(missing)"))) for f in T.FIELDS])).alias("subject"))
+    shares = tokens.groupBy("subject").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > half * F.col("total"))
+    sources = df.where("source_file is not null").groupBy(F.col("source_file").alias("subject")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > cap * F.col("total"))
+    of = lambda name, found: found.select(F.lit(name).alias("check"), "subject", pct(F.col("n")).alias("pct"))
+    zone = total.where((F.col("total") > 0) & (F.col("edge") < boundary * F.col("total"))).select(F.lit("score 50-74").alias("subject"), F.col("edge").alias("n"), "total")
+    return of("distribution_imbalance", shares).unionByName(of("source_weight_cap", sources)).unionByName(of("boundary_starvation", zone))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Leading digits of a hash by which a stratum is cut for ranking.
+DIGITS = 3
+
+
 def shuffled(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
@@ -46,38 +50,62 @@ def sizes_of(df: DataFrame, stratum: str, order: list[str]) -> dict[str, int]:
     return {k: found.get(k, 0) for k in order}
 
 
+def hash_ranked(df: DataFrame, by: list[str], key: Column, name: str = "rn", size: str | None = None) -> DataFrame:
+    """df with each row's rank in its stratum by key, hex digits spread evenly; size, if given, names the stratum's size.
+
+    Rows are counted by stratum and the key's first DIGITS digits, ranks begin after the counts of smaller digits, and only
+    rows of equal digits are sorted together, so a stratum that holds most rows is many tasks' work. The table of counts
+    has 16 ** DIGITS rows a stratum at most.
+    """
+    cut = df.withColumn("_key", key).withColumn("_cut", F.substring("_key", 1, DIGITS))
+    counts = cut.groupBy(*by, "_cut").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(b).alias(f"_b_{k}") for k, b in enumerate(by)], F.col("_cut").alias("_d"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_size"))
+    same = F.col("_cut") == F.col("_d")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b_{k}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_cut").orderBy("_key"))
+    out = cut.join(before, same).withColumn(name, (F.col("_before") + own).cast("int"))
+    if size:
+        out = out.withColumn(size, F.col("_size"))
+    return out.drop("_key", "_cut", "_d", "_before", "_size", *[f"_b_{k}" for k in range(len(by))])
+
+
 def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def take(df: DataFrame, stratum: str, quota: dict[str, int], *order: Column) -> DataFrame:
+    """The first rows of each stratum, as many as its quota says. Rows beyond the largest quota leave before they are moved."""
     wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(stratum)), F.lit(0))
-    return ranked(df, [stratum], *order, name="_rn").where(F.col("_rn") <= wanted).drop("_rn")
+    most = max(quota.values(), default=0)
+    return ranked(df, [stratum], *order, name="_rn").where((F.col("_rn") <= most) & (F.col("_rn") <= wanted)).drop("_rn")
 
 
 def stratified(df: DataFrame, stratum: str, order: list[str], count: int, seed: int, id_col: str, equal: bool = False) -> DataFrame:
     quota = (balanced if equal else proportional)(sizes_of(df, stratum, order), count)
-    return take(df, stratum, quota, shuffled(seed, id_col))
+    wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(stratum)), F.lit(0))
+    return hash_ranked(df, [stratum], shuffled(seed, id_col), "_rn").where(F.col("_rn") <= wanted).drop("_rn")
 
 
 def split(df: DataFrame, by: list[str], share: float, seed: int, id_col: str) -> DataFrame:
     """part: valid for the first max(1, round(n * share)) of each stratum in shuffled order, else train."""
-    r = ranked(df, by, shuffled(seed, id_col)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    r = hash_ranked(df, by, shuffled(seed, id_col), "rn", "_n")
     return r.withColumn("part", F.when(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.5)), "valid").otherwise("train")).drop("rn", "_n")
 
 
 def split_three(df: DataFrame, by: list[str], seed: int, id_col: str, train: float = 0.6, valid: float = 0.2) -> DataFrame:
     """60 / 20 / 20 in each stratum; strata of fewer than three rows go to train."""
-    r = ranked(df, by, shuffled(seed, id_col)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    r = hash_ranked(df, by, shuffled(seed, id_col), "rn", "_n")
     n = F.col("_n")
     a = F.floor(n * train)
     b = a + F.floor(n * valid)
     return r.withColumn("part", F.when((n < 3) | (F.col("rn") <= a), "train").when(F.col("rn") <= b, "valid").otherwise("test")).drop("rn", "_n")
 
 
-def oversampled(df: DataFrame, by: str, goal: int, *order: Column) -> DataFrame:
-    """Each stratum repeated round-robin up to goal rows: copy counts from 0."""
-    r = ranked(df, [by], *order).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+def oversampled(df: DataFrame, by: str, goal: int, key: Column) -> DataFrame:
+    """Each stratum, in the order of key, hex digits spread evenly, repeated round-robin up to goal rows: copy counts from 0."""
+    r = hash_ranked(df, [by], key, "rn", "_n")
     extra = F.floor((F.lit(goal) - F.col("rn")) / F.col("_n"))
     return r.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), extra).cast("int")))).drop("rn", "_n")
 

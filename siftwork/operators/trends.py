@@ -27,12 +27,14 @@ def running(df: DataFrame, by: str, order: str, ok: Column) -> DataFrame:
     return out.withColumn("streak", F.sum(F.when(~ok, 1).otherwise(0)).over(island))
 
 
-def stops(df: DataFrame, by: str, order: str, ok: Column, label: str, streak: int = 25, same: int = 5) -> DataFrame:
-    """The first row of each group at which one of the early-exit rules holds, and the rule."""
+def stops(df: DataFrame, by: str, order: str, ok: Column, label: str, streak: int = 25, same: int = 5, seconds: str | None = None, limit: float = 0.0) -> DataFrame:
+    """The first row of each group at which one of the early-exit rules holds, and the rule; with a column of seconds, also
+    that of a mean of twice the limit."""
     r = running(df, by, order, ok)
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("labels", F.size(F.collect_set(label).over(w))).withColumn("rows", F.count("*").over(w))
-    rule = F.when((F.col("seen") == 0) & (F.col("rows") >= 2), "all_failed").when(F.col("streak") >= streak, "streak").when((F.col("seen") >= same) & (F.col("labels") == 1), "one_label")
+    slow = (F.col("rows") >= 2) & (F.avg(seconds).over(w) >= 2 * limit) if seconds else F.lit(False)
+    rule = F.when((F.col("seen") == 0) & (F.col("rows") >= 2), "all_failed").when(slow, "slow").when(F.col("streak") >= streak, "streak").when((F.col("seen") >= same) & (F.col("labels") == 1), "one_label")
     return r.withColumn("rule", rule).where("rule is not null").groupBy(by).agg(F.min_by("rule", order).alias("rule"), F.min(order).alias("at"))
 
 

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from siftwork.plans import curation, evaluation, more, records, sampling, text  # noqa: F401
+    from siftwork.plans import curation, evaluation, extra, files, more, records, sampling, text  # noqa: F401

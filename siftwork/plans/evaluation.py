@@ -9,6 +9,7 @@ from siftwork.functions import tokens as T
 from siftwork.operators import evaluate as E
 from siftwork.operators import trends as H
 from siftwork.plans import fixtures as fx
+from siftwork.plans import text as X
 from siftwork.plans.catalog import query
 from siftwork.plans.fixtures import ctes, table
 
@@ -104,13 +105,15 @@ def wilson_ci(spark, d):
     return per.select("label", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-# the rules' predictions stand in as gold with a dent of their own: location unknown for a tenth
-RULED = f"select *, case when doc_id % 10 = 3 then 'UNK' else g_loc end r_loc, g_arr r_arr, g_sen r_sen, case when doc_id % 7 = 2 then 'OOS' else g_tech end r_tech, g_comp r_comp from predictions"
+# the rules' tokens are those of the classifiers over the adverts; the SQL looks up what the injected phrases mean
+RULED = f"select p.*, r.loc r_loc, r.arr r_arr, r.sen r_sen, r.tech r_tech, r.comp r_comp from predictions p join ({X.RULED}) r using (doc_id)"
+PJ = ctes("predictions", "jobs")
 
 
 def with_rules(spark, d):
-    m = F.col("doc_id")
-    return preds(spark, d).select("*", F.when(m % 10 == 3, "UNK").otherwise(F.col("g_loc")).alias("r_loc"), F.col("g_arr").alias("r_arr"), F.col("g_sen").alias("r_sen"), F.when(m % 7 == 2, "OOS").otherwise(F.col("g_tech")).alias("r_tech"), F.col("g_comp").alias("r_comp"))
+    """Gold and predictions beside the tokens of the rule classifiers, joined by ordinal."""
+    rules = X.ruled(table(spark, d, "jobs")).select(F.col("line_no").alias("job_index"), F.col("loc").alias("r_loc"), F.col("arr").alias("r_arr"), F.col("sen").alias("r_sen"), F.array_join("tech", ",").alias("r_tech"), F.col("comp").alias("r_comp"))
+    return preds(spark, d).join(rules, "job_index")
 
 
 def _hybrid(name: str, ruled: list[str]) -> str:
@@ -122,19 +125,19 @@ def _hybrid(name: str, ruled: list[str]) -> str:
 HYBRID = f"hyb as (select approach, doc_id, g_label, {fx.label_sql('score')} label from (select *, {fx.score_sql('loc', 'sen', 'tech', 'comp')} score from (" + " union all ".join(_hybrid(k, v) for k, v in {"model": [], "regex": E.FIELDS, "A": ["tech", "comp"], "B": ["arr", "tech", "comp"], "v12": ["loc", "tech", "comp"]}.items()) + ") u) s)"
 
 
-@query(P + f", ruled as ({RULED}), {HYBRID} select approach, count(*) n, count(*) filter (label = g_label) correct, round(100.0 * count(*) filter (label = g_label) / count(*), 1) pct from hyb group by 1")
+@query(PJ + f", ruled as ({RULED}), {HYBRID} select approach, count(*) n, count(*) filter (label = g_label) correct, round(100.0 * count(*) filter (label = g_label) / count(*), 1) pct from hyb group by 1")
 def hybrid_summary(spark, d):
     n, c = F.count("*"), F.count_if(F.col("label") == F.col("g_label"))
     return E.hybrids(with_rules(spark, d)).groupBy("approach").agg(n.alias("n"), c.alias("correct"), E.percent(c, n).alias("pct"))
 
 
-@query(P + f", ruled as ({RULED}), {HYBRID} select doc_id, string_agg(approach, ',' order by approach) wrong from hyb where label <> g_label group by 1")
+@query(PJ + f", ruled as ({RULED}), {HYBRID} select doc_id, string_agg(approach, ',' order by approach) wrong from hyb where label <> g_label group by 1")
 def hybrid_errors(spark, d):
     h = E.hybrids(with_rules(spark, d)).where("label <> g_label")
     return h.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("approach")), ",").alias("wrong"))
 
 
-@query(P + f", ruled as ({RULED}), {HYBRID}, e as (select doc_id, max(case when approach = 'model' then (label = g_label)::int end) m, max(case when approach = 'regex' then (label = g_label)::int end) r from hyb group by 1) select case when m is null then 'none' when m = 1 then 'right' else 'wrong' end model, case when r = 1 then 'right' else 'wrong' end regex, count(*) n from e group by 1, 2")
+@query(PJ + f", ruled as ({RULED}), {HYBRID}, e as (select doc_id, max(case when approach = 'model' then (label = g_label)::int end) m, max(case when approach = 'regex' then (label = g_label)::int end) r from hyb group by 1) select case when m is null then 'none' when m = 1 then 'right' else 'wrong' end model, case when r = 1 then 'right' else 'wrong' end regex, count(*) n from e group by 1, 2")
 def error_correlation(spark, d):
     h = E.hybrids(with_rules(spark, d)).where("approach in ('model', 'regex')").withColumn("ok", F.col("label") == F.col("g_label"))
     w = h.groupBy("doc_id").agg(F.max(F.when(F.col("approach") == "model", F.col("ok"))).alias("m"), F.max(F.when(F.col("approach") == "regex", F.col("ok"))).alias("r"))
@@ -187,10 +190,15 @@ def run_comparison(spark, d):
     return a.join(b, "job_index").agg(n.alias("n"), E.percent(F.count_if(F.expr("la = lb")), n).alias("agree"), F.count_if(F.expr("ca <> cb")).alias("loc_changed"))
 
 
-@query(P + "select v.version, p.job_index, case v.version when 'v13' then g_sen else case when g_sen = 'LEVEL_3' then 'LEVEL_2' else g_sen end end sen from predictions p cross join (values ('v12'), ('v13')) v(version) where p_label is null")
+@query(PJ + """, t as (select line_no job_index, lower(title) t from jobs) select v.version, job_index, case when regexp_matches(t, '\\b(lead|principal|staff|director|head\\s+of|vp|cto|chief|architect|manager|founding)\\b') then 'LEVEL_3'
+  when regexp_matches(t, '\\bsenior\\b|\\bsr\\.|\\bsr\\s|\\bsnr\\b') then case v.version when 'v12' then 'LEVEL_2' else 'LEVEL_3' end else case v.version when 'v12' then 'LEVEL_1' else 'LEVEL_2' end end sen from t cross join (values ('v12'), ('v13'), ('v13.1')) v(version)""")
 def version_cross_scores(spark, d):
-    v = F.explode(F.array(F.lit("v12"), F.lit("v13"))).alias("version")
-    return preds(spark, d).where("p_label is null").select("*", v).select("version", "job_index", F.when((F.col("version") == "v12") & (F.col("g_sen") == "LEVEL_3"), "LEVEL_2").otherwise(F.col("g_sen")).alias("sen"))
+    """Every advert's seniority under each registered version of the rules."""
+    from siftwork.versions import VERSIONS, resolved
+
+    rows = table(spark, d, "jobs").select(F.col("line_no").alias("job_index"), "title")
+    each = [F.struct(F.lit(k).alias("version"), resolved(k).seniority(F.col("title")).alias("sen")) for k in VERSIONS]
+    return rows.select("job_index", F.explode(F.array(*each)).alias("x")).select("x.version", "job_index", "x.sen")
 
 
 # run histories

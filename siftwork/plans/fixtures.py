@@ -94,6 +94,9 @@ select job_index, doc_id, parse_fail, invalid_token, g_loc, g_arr, g_sen, g_tech
   case when not (parse_fail or invalid_token) then p_score end p_score, case when not (parse_fail or invalid_token) then {label_sql('p_score')} end p_label
 from (select *, {score_sql('p_loc', 'p_sen', 'p_tech', 'p_comp')} p_score from {{drawn}} p) q
 """
+#: A second model's predictions of the same rows, with its own errors and failures.
+_PRED_B = _PRED.replace(u(11, 14), u(51, 9)).replace(u(17, 25), u(52, 20)).replace(u(12, 8), u(53, 6)).replace(u(16, 8), u(54, 5))
+PREDICTIONS_B = PREDICTIONS.replace("{drawn}", "{drawn_b}")
 #: Runs of models: a day of events is a run, an event type a model.
 RUNS = "select cast(date_trunc('day', ts) as date) run, event_type model, cast(count(*) as bigint) n, sum(case when event_id % 3 <> 0 then 1 else 0 end) ok, sum(abs(value - 50)) abs_err from {events} group by 1, 2"
 #: Tokens as a model spells them: lower case, typos of one to three letters, mixtures.
@@ -106,7 +109,7 @@ from {{labelled}} l
 #: Target counts of tokens, as a distribution table has them.
 TARGETS = "select * from (values ('loc','IN_LONDON',120),('loc','REMOTE',180),('loc','UK_OTHER',260),('loc','OUTSIDE_UK',240),('loc','UNK',150),('arr','REMOTE',200),('arr','HYBRID',260),('arr','IN_OFFICE',300),('arr','UNK',200),('sen','LEVEL_3',600),('sen','LEVEL_2',250),('sen','LEVEL_1',90),('comp','NO_GBP',500),('comp','UP_TO_ONLY',80),('comp','BELOW_45K',60),('comp','RANGE_45_54K',90),('comp','RANGE_55_74K',110),('comp','RANGE_75_99K',100),('comp','ABOVE_100K',70)) t(field, token, target)"
 
-TABLES = {"jobs": JOBS, "gold": GOLD, "drawn": _PRED, "labelled": LABELLED, "predictions": PREDICTIONS, "runs": RUNS, "raw_tokens": RAW_TOKENS, "targets": TARGETS}
+TABLES = {"jobs": JOBS, "gold": GOLD, "drawn": _PRED, "drawn_b": _PRED_B, "predictions_b": PREDICTIONS_B, "labelled": LABELLED, "predictions": PREDICTIONS, "runs": RUNS, "raw_tokens": RAW_TOKENS, "targets": TARGETS}
 DRIVER = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

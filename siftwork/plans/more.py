@@ -231,15 +231,9 @@ def merge_sources(spark, d):
     return old.unionByName(rows.where(new).select(F.concat(F.lit("new_"), "job_id").alias("job_id"), F.lit("added").alias("part"), "label"))
 
 
-@query(L + "select v.v variant, doc_id, v.v || ': ' || title said from labelled cross join (values ('vague'), ('short'), ('formal'), ('misleading')) v(v) where doc_id % 10 = 0")
-def variant_grid(spark, d):
-    v = F.explode(F.array(*[F.lit(x) for x in ("vague", "short", "formal", "misleading")])).alias("variant")
-    return lab(spark, d).where("doc_id % 10 = 0").select("*", v).select("variant", "doc_id", F.concat("variant", F.lit(": "), "title").alias("said"))
-
-
 @query(L + "select v.v variant, doc_id, v.v || ': ' || title said from labelled cross join (values ('vague'), ('short'), ('formal'), ('misleading')) v(v)")
-def variant_grid_all(spark, d):
-    """The grid over every row; variant_grid, whose SQL is given, keeps to a tenth of them."""
+def variant_grid(spark, d):
+    """Each variant of every row."""
     v = F.explode(F.array(*[F.lit(x) for x in ("vague", "short", "formal", "misleading")])).alias("variant")
     return lab(spark, d).select("*", v).select("variant", "doc_id", F.concat("variant", F.lit(": "), "title").alias("said"))
 
@@ -290,26 +284,6 @@ def clean_eval_set(spark, d):
     return one.withColumn("k", F.concat(F.lower(F.trim("title")), "job_location")).join(held, "k", "left_anti").select("doc_id")
 
 
-@query()
-def selective_extract(spark, d):
-    """Text within a budget by quotas: the first two chunks, three that speak against, three from the tail, then the best."""
-    cs = F.array_distinct(X.chunks(F.col("jd_text")))
-    scored = F.transform(cs, lambda c, i: F.struct(i.alias("i"), X.chunk_score(c).alias("s"), F.rlike(c, F.lit(r"(?i)\b(python|java|php|ruby|sql)\b|\$|€")).alias("counter"), c.alias("c")))
-    rows = table(spark, d, "jobs").select("doc_id", scored.alias("x"))
-    first = F.filter("x", lambda a: a["i"] < 2)
-    counter = F.slice(F.filter("x", lambda a: a["counter"]), 1, 3)
-    tail = F.slice(F.reverse(F.filter("x", lambda a: a["counter"] | (a["s"] >= 4))), 1, 3)
-    best = F.slice(F.array_sort("x", lambda a, b: F.when(a["s"] != b["s"], b["s"] - a["s"]).otherwise(a["i"] - b["i"])), 1, 8)
-    every = F.array_distinct(F.transform(F.concat(first, counter, tail, best, F.filter("x", lambda a: a["s"] > -8)), lambda a: F.struct(a["i"].alias("i"), a["c"].alias("c"))))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,c:string>>").alias("kept"))
-
-    def step(acc, a):
-        n = F.length(a["c"]) + 1
-        return F.when(acc["used"] + n <= 1200, F.struct((acc["used"] + n).alias("used"), F.concat(acc["kept"], F.array(a)).alias("kept"))).otherwise(acc)
-
-    return rows.select("doc_id", F.array_join(F.transform(F.sort_array(F.aggregate(every, start, step)["kept"]), lambda a: a["c"]), " ").alias("extract"))
-
-
 @query(J + "select doc_id, case when x_arr = 'UNK' then 'arrangement not stated' else lower(x_arr) end arr_raw, case when contains(jd_text, '£') then 'pay stated' else 'no pay' end comp_raw from jobs")
 def canonical_fallbacks(spark, d):
     arr = R.arrangement(F.col("jd_text"))

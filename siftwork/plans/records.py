@@ -55,14 +55,14 @@ def alias_coalesce(spark, d):
     return jobs(spark, d).select("doc_id", io.first_of([F.when(c("doc_id") % 3 == 0, "  ").otherwise(c("job_id")), F.when(c("doc_id") % 2 == 0, c("title")), c("company")]).alias("name"))
 
 
-@query(J + "select doc_id, case doc_id % 3 when 0 then 'j' || doc_id when 1 then (1000000 + doc_id)::varchar else 'ukjob_' || substr(md5(title || '|' || company || '|' || job_location), 1, 12) end id from jobs")
+@query(J + "select doc_id, case doc_id % 3 when 0 then 'j' || doc_id when 1 then (1000000 + doc_id)::varchar else 'ukjob_' || substr(sha1(title || '|' || company || '|' || job_location), 1, 12) end id from jobs")
 def job_id_extraction(spark, d):
-    """The raw id, else the last long number of the URL, else a hash (md5 here, which both engines have)."""
+    """The raw id, else the last long number of the URL, else a hash."""
     c = F.col
     raw = F.when(c("doc_id") % 3 == 0, F.concat(F.lit("j"), c("doc_id").cast("string")))
     url = F.when(c("doc_id") % 3 == 1, F.concat(F.lit("https://x.example/123456789/"), (c("doc_id") + 1000000).cast("string"))).otherwise("https://x.example/1")
     number = F.try_element_at(F.regexp_extract_all(url, F.lit(r"\b\d{6,}\b"), F.lit(0)), F.lit(-1))
-    made = F.concat(F.lit("ukjob_"), F.substring(F.md5(F.concat_ws("|", "title", "company", "job_location")), 1, 12))
+    made = F.concat(F.lit("ukjob_"), F.substring(F.sha1(F.concat_ws("|", "title", "company", "job_location")), 1, 12))
     return jobs(spark, d).select("doc_id", F.coalesce(raw, number, made).alias("id"))
 
 
@@ -198,10 +198,10 @@ def positional_zip(spark, d):
     return z.where(n > 0).select("conv_id", F.posexplode(F.zip_with(F.slice("u", 1, n), F.slice("a", 1, n), lambda u, a: F.struct(u.alias("u"), a.alias("a"))))).select("conv_id", (F.col("pos") + 1).cast("long").alias("k"), "col.u", "col.a")
 
 
-@query(L + "select doc_id, comp, case when comp like 'RANGE%' then 'range' when comp in ('NO_GBP', 'UP_TO_ONLY') then 'none' else 'edge' end kind from labelled where not (jd_text like '%OTE%')")
+@query(L + "select doc_id, comp, case when comp like 'RANGE%' then 'range' when comp in ('NO_GBP', 'UP_TO_ONLY') then 'none' else 'edge' end kind from labelled")
 def pay_kinds(spark, d):
     c = F.col("comp")
-    return lab(spark, d).where(~F.col("jd_text").contains("OTE")).select("doc_id", "comp", F.when(c.startswith("RANGE"), "range").when(c.isin("NO_GBP", "UP_TO_ONLY"), "none").otherwise("edge").alias("kind"))
+    return lab(spark, d).select("doc_id", "comp", F.when(c.startswith("RANGE"), "range").when(c.isin("NO_GBP", "UP_TO_ONLY"), "none").otherwise("edge").alias("kind"))
 
 
 @query("select doc_id, len(regexp_split_to_array(trim(text), '\\s+')) < 50 short_text from documents")

@@ -87,7 +87,7 @@ def split_real_valid(spark, d):
     size = rows.groupBy("label").agg(F.count("*").alias("n"))
     total = size.agg(F.sum("n").alias("total"))
     quota = size.crossJoin(F.broadcast(total)).select("label", F.floor(F.col("n") * 100.0 / F.col("total") + 0.5).alias("q"))
-    r = S.ranked(rows, ["label", "syn"], S.shuffled(42, "doc_id")).join(quota, "label")
+    r = S.hash_ranked(rows, ["label", "syn"], S.shuffled(42, "doc_id")).join(quota, "label")
     return r.select("doc_id", F.when(~F.col("syn") & (F.col("rn") <= F.col("q")), "valid").otherwise("train").alias("part"))
 
 
@@ -219,7 +219,7 @@ def gap_greedy_select(spark, d, total_target=1200):
     if not quota:
         return rows.limit(0).select("doc_id", *GAPS)
     plan = spark.createDataFrame([(*k, v) for k, v in quota.items()], "loc string, arr string, sen string, comp string, quota int")
-    r = S.ranked(rows, GAPS, S.shuffled(42, "doc_id"))
+    r = S.hash_ranked(rows, GAPS, S.shuffled(42, "doc_id"))
     return r.join(F.broadcast(plan), GAPS).where("rn <= quota").select("doc_id", *GAPS)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.functions import extract as E
 from siftwork.functions import repair
 from siftwork.functions import rules as R
 from siftwork.functions import text as X
@@ -99,12 +100,12 @@ def numeric_scorer(spark, d):
     return jobs(spark, d).select("doc_id", *[v.alias(k) for k, v in s.items()])
 
 
-@query(LAB + """select doc_id, list_aggregate(list_filter([case when title in ('Senior Software Engineer', 'Sr. Node Developer') and sen = 'LEVEL_1' then 'senior_title_level_1' end, case when title in ('Product Manager') and sen = 'LEVEL_3' then 'no_engineering_level_3' end,
+@query(LAB + """select doc_id, list_aggregate(list_filter([case when title in ('Senior Software Engineer', 'Sr. Node Developer', 'Staff Data Scientist') and sen = 'LEVEL_1' then 'senior_title_level_1' end, case when title in ('Product Manager') and sen = 'LEVEL_3' then 'no_engineering_level_3' end,
   case when job_location in ('London, UK', 'Little London, UK') and loc <> 'IN_LONDON' then 'london_elsewhere' end, case when job_location in ('Remote', 'Paris, France (Remote)') and loc not in ('IN_LONDON', 'REMOTE') then 'remote_elsewhere' end,
-  case when tech <> 'OOS' and title in ('Product Manager') then 'in_scope_no_engineering' end], lambda x: x is not null), 'string_agg', ',') issues from labelled where title <> 'Staff Data Scientist'""")
+  case when tech <> 'OOS' and title in ('Product Manager') then 'in_scope_no_engineering' end], lambda x: x is not null), 'string_agg', ',') issues from labelled""")
 def suspicious_tokens(spark, d):
     c = F.col
-    out = table(spark, d, "labelled").where("title <> 'Staff Data Scientist'").select("doc_id", F.array_join(R.suspicious(c("title"), c("job_location"), c("loc"), c("sen"), c("tech")), ",").alias("issues"))
+    out = table(spark, d, "labelled").select("doc_id", F.array_join(R.suspicious(c("title"), c("job_location"), c("loc"), c("sen"), c("tech")), ",").alias("issues"))
     return out.select("doc_id", F.when(F.col("issues") != "", F.col("issues")).alias("issues"))
 
 
@@ -279,29 +280,33 @@ def keyword_contexts(spark, d):
 CUT_JOB = CUT.replace("text", "jd_text")
 ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 HEAD = f"s as materialized (select doc_id, {CUT_JOB} s, list_filter(list_transform(string_split(jd_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') lines from jobs)"
-POINTS = " + ".join(
-    f"case when regexp_matches(c, '{p}') then {n} else 0 end"
-    for p, n in [
-        (r"(?i)£|\bsalary\b|\bper annum\b|\bper day\b", 6),
-        (r"(?i)\blondon\b|\bremote\b|\bhybrid\b|\bon-?site\b|\buk\b", 5),
-        (r"(?i)\bnode|\breact|\btypescript\b|\bjavascript\b|\bmachine learning\b|\bai\b", 4),
-        (r"(?i)\bsenior\b|\blead\b|\bprincipal\b|\bstaff\b|\bjunior\b", 3),
-        (r"(?i)\brequire|\bmust have\b|\bexperience\b", 2),
-        (r"^\s*[-*•]", 1),
-        ("(?i)" + "|".join(X.DROP_FACTS), -8),
-    ]
-) + " - case when length(c) < 20 then 1 else 0 end"
-
-
-@query(J + f", {HEAD} select doc_id, len(p)::int n_chunks, list_max(p) best, list_min(p) worst from (select doc_id, list_transform(case when len(lines) >= 8 then lines else {ORDERED.format('s')} end, lambda c: {POINTS}) p from s) x")
+POINTS = r"""case when regexp_matches(c, '(?i)£|\bsalary\b|\bcompensation\b|\bpay\b|\bper annum\b|\bannum\b|\bp\.?a\.?\b|\bday rate\b') then 6 else 0 end
+ + case when regexp_matches(c, '(?i)\bremote\b|\bhybrid\b|\bon[- ]?site\b|\bin[- ]?office\b|\blondon\b|\buk\b|\bunited kingdom\b|\blocation\b|\bbased in\b') then 5 else 0 end
+ + case when regexp_matches(c, '(?i)\bnode(\.js|js)?\b|\breact(\.js|js)?\b|\btypescript\b|\bjavascript\b|\bai\b|\bmachine learning\b|\bml\b|\bbackend\b|\bfrontend\b|\bfull[- ]?stack\b') then 4 else 0 end
+ + case when regexp_matches(c, '(?i)\bjunior\b|\bgraduate\b|\bentry[- ]?level\b|\bsenior\b|\blead\b|\bstaff\b|\bprincipal\b|\bmanager\b|\bintern(ship)?\b') then 3 else 0 end
+ + case when regexp_matches(c, '(?i)\brequirements?\b|\bmust have\b|\bexperience with\b|\bwhat (you(''|’)ll|you will) bring\b|\bskills?\b|\bresponsibilit(y|ies)\b') then 2 else 0 end
+ + case when regexp_matches(c, '^\s*[-*•]') then 1 else 0 end - case when length(c) < 24 then 1 else 0 end
+ - case when regexp_matches(c, '(?i)\bequal opportunity\b|\bdiversity\b|\binclusion\b|\bprivacy policy\b|\bcookie(s)?\b|\bterms and conditions\b|\bhow to apply\b|\bapply now\b|\bour mission\b|\babout (the )?company\b|\bbenefits include\b|\bperks\b') then 8 else 0 end"""
+BLANKS = "[\\s\\x{0b}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+TIDY = f"list_filter(list_transform(PARTS, lambda x: trim(regexp_replace(x, '{BLANKS}', ' ', 'g'))), lambda x: x <> '')"
+LINES = TIDY.replace("PARTS", "string_split(replace(jd_text, chr(13), ''), chr(10))")
+CHUNKS = TIDY.replace("PARTS", f"string_split(regexp_replace(replace(jd_text, chr(13), ''), '([.!?]){BLANKS}', '\\1' || chr(1), 'g'), chr(1))")
+
+
+@query(J + f", s as materialized (select doc_id, {LINES} lines, {CHUNKS} parts from jobs) select doc_id, len(p)::int n_chunks, list_max(p) best, list_min(p) worst from (select doc_id, list_transform(case when len(lines) >= 8 then lines else parts end, lambda c: {POINTS}) p from s) x")
 def chunk_scores(spark, d):
-    cs = F.transform(X.chunks(F.col("jd_text")), X.chunk_score)
-    return jobs(spark, d).select("doc_id", F.size(cs).alias("n_chunks"), F.array_max(cs).alias("best"), F.array_min(cs).alias("worst"))
+    out = jobs(spark, d).select("doc_id", X.let(E.chunks(F.col("jd_text")), lambda cs: F.transform(cs, E.chunk_score)).alias("p"))
+    return out.select("doc_id", F.size("p").alias("n_chunks"), F.array_max("p").alias("best"), F.array_min("p").alias("worst"))
 
 
 @query()
 def ranked_extract(spark, d):
-    return jobs(spark, d).select("doc_id", X.ranked(F.col("jd_text")).alias("extract"))
+    return jobs(spark, d).select("doc_id", E.ranked(F.col("jd_text")).alias("extract"))
+
+
+@query()
+def selective_extract(spark, d):
+    return jobs(spark, d).select("doc_id", E.selective(F.col("jd_text"), most=1200).alias("extract"))
 
 
 KEEP = "(?i)" + "|".join(f"(?:{p})" for p in X.KEEP_FACTS)
@@ -320,4 +325,4 @@ def preprocess_text(spark, d):
 
 @query()
 def smart_truncate(spark, d):
-    return jobs(spark, d).select("doc_id", repair.truncated(F.col("jd_text"), 300).alias("text"))
+    return jobs(spark, d).select("doc_id", E.truncated(F.col("jd_text"), 300).alias("text"))

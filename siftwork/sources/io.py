@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.sources import scratch
+
 
 def parsed_lines(lines: DataFrame, schema: str, column: str = "value", strict: bool = False) -> DataFrame:
     """Rows of JSON lines; blank lines and lines that start with # are skipped. A malformed line is null, or an error."""
@@ -55,14 +57,76 @@ def read_database(spark: SparkSession, url: str, table: str, least: int = 200, *
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where(f"description is not null and length(description) > {least}")
 
 
-def read_results(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Result files of many runs, those that aren't JSON left out, with the file each row is from."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(glob)
-    return df.withColumn("file", F.input_file_name())
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """field (in lower case), token and target of a distribution table."""
+    t = read_csv(spark, path, "Field string, Token string, Total int")
+    return t.select(F.lower("Field").alias("field"), F.col("Token").alias("token"), F.col("Total").alias("target"))
+
+
+def existing(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """Those of the named paths that exist."""
+    return {k: p for k, p in paths.items() if scratch.exists(spark, p)}
+
+
+def read_results(spark: SparkSession, glob: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of result files of many runs with the file each is from, and the files that aren't JSON."""
+    raw = spark.read.text(glob, wholetext=True).select("value", F.input_file_name().alias("file"))
+    read = raw.select("file", F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema)).alias("r"))
+    return read.where("r is not null").select("r.*", "file"), read.where("r is null").select("file")
+
+
+def merged_chunks(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """All rows of the chunk files; their order is a column's, which placed() numbers."""
+    return read_jsonl(spark, glob, schema)
+
 
+def placed(df: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """df with each row's place in the order of a numeric column, from 1. Ranges of the column are numbered where they
+    are, and begin after the number of rows in those before, so no task sees all rows."""
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    if not n:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    width = max(1, (hi - lo + 1) // max(1, n // 10_000))
+    cut = F.floor((F.col(order) - F.lit(lo)) / F.lit(width))
+    keyed = df.withColumn("_cut", cut)
+    sizes = keyed.groupBy("_cut").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_cut").orderBy(order))
+    return keyed.join(before, "_cut").withColumn(name, (F.col("_before") + own).cast("long")).drop("_cut", "_before")
 
-def merged_chunks(spark: SparkSession, glob: str, schema: str, order: str = "job_index") -> DataFrame:
-    return spark.read.schema(schema).json(glob).orderBy(order)
+
+def refuses(write) -> bool:
+    """Whether a write fails."""
+    try:
+        write()
+    except Exception:  # Spark's or ours
+        return True
+    return False
+
+
+def distinct_paths(source: str, target: str) -> None:
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("input and output are one")
+
+
+def markdown_row(cells: list[Column]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def yaml_item(c: dict[str, Column], tolerance: int) -> Column:
+    """A test case: what it is about, its variables, and what must hold of an answer."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    lines = [
+        F.concat(F.lit("- description: "), quoted(F.concat(c["job_id"], F.lit(" | "), c["title"], F.lit(" @ "), c["company"]))),
+        F.lit("  vars:"),
+        F.concat(F.lit("    job_title: "), quoted(c["title"])),
+        F.concat(F.lit("    expected_label: "), c["label"]),
+        F.concat(F.lit("    expected_score: "), c["score"]),
+        F.lit("  assert:"),
+        F.concat(F.lit("    - label == "), c["label"]),
+        F.concat(F.lit("    - abs(score - "), c["score"], F.lit(f") <= {tolerance}")),
+    ]
+    return F.concat_ws("\n", *lines)
 
 
 def first_of(columns: list[Column]) -> Column:
@@ -97,8 +161,6 @@ def manifest(df: DataFrame, label: str, order: str) -> DataFrame:
 
 
 def _whole():
-    from pyspark.sql import Window
-
     return Window.partitionBy()
 
 
