@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from siftwork.llm._shared import scratched
 
 GAP = "[\\x20\\x09-\\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
@@ -38,7 +36,7 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(ws: Column, width: int = WINDOW) -> Column:
-    """Words that lie in a window of width words found twice or more in the same text."""
+    """Words that lie in a window of width words, a power of two, found twice or more in the same text."""
 
     def covered(starts: Column) -> Column:
         """Union of the windows at these starts (ascending)."""
@@ -55,27 +53,33 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
     def of_windows(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), doubles))
 
-    def of_hashes(h: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.xxhash64(F.slice(h, i, width))), of_windows)
+    def doubled(h: Column, n: int) -> Column:
+        """Of hashes of runs of n words, those of runs of 2 n; the last n are of the runs that the text's end cuts."""
+        return F.zip_with(h, F.slice(h, n + 1, F.greatest(F.size(h) - n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
-    return F.when(F.size(ws) < width, F.lit(0).cast("long")).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), of_hashes))
+    def of_hashes(h: Column, n: int = 1) -> Column:
+        if n == width:
+            return let(F.slice(h, 1, F.size(h) - width + 1), of_windows)
+        return let(doubled(h, n), lambda x: of_hashes(x, 2 * n))
+
+    return F.when(F.size(ws) < width, F.lit(0).cast("long")).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: of_hashes(h)))
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(text) - F.regexp_count(text, F.lit("[\\x20\\x09-\\x0D]"))
 
 
 def symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
 
 
 def same_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return F.greatest(F.lit(0), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+    own = lambda ls: let(F.filter(ls, lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]"))), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return let(F.split(text, "\n"), lambda ls: F.when(F.size(F.array_distinct(ls)) == F.size(ls), 0).otherwise(own(ls)))
 
 
 def upper(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
+    return F.regexp_count(text, F.lit("\\p{Lu}"))
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
