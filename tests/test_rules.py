@@ -1,14 +1,20 @@
 """Edge cases of classifiers, repair, truncation and greedy selection."""
 
+import hashlib
+import itertools
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork import versions
+from siftwork.functions import extract as E
 from siftwork.functions import repair, rules
 from siftwork.functions import text as X
 from siftwork.functions import tokens as T
-from siftwork.operators import dedup, sampling
+from siftwork.operators import dedup, label, sampling
 from siftwork.sources import io
 from siftwork.streaming import runlog
 
@@ -75,18 +81,147 @@ def test_preprocessing_is_idempotent(spark):
     assert one(spark, repair.preprocessed(F.col("t")), t=None) == ""
 
 
-def test_truncation_keeps_pay_and_ends():
-    words = [f"w{i}" for i in range(4000)]
-    words[2000] = "salary"
-    got = repair.truncate(" ".join(words), 1000)
-    assert got.startswith("w0 w1") and got.endswith("w3999") and "salary" in got and "[...]" in got and len(got) < len(" ".join(words))
-    assert repair.truncate("short", 10) == "short"
-
-
-def test_ranked_extract_keeps_within_its_budget(spark):
-    text = "Intro line here. " + "Salary is £50k per annum in London. " + "filler words and more of them here. " * 3 + "Senior Node.js required."
-    got = one(spark, X.ranked(F.col("t"), most=100), t=text)
-    assert got.startswith("Intro line here.") and "Salary" in got and len(got) <= 100
+def cut_plainly(text, most):
+    """Truncation word by word, for comparison."""
+    if -(-len(text) // 4) <= most:
+        return text
+    words = re.split(r"\s+", text)
+    n = len(words)
+    spared = set(range(min(300, n))) | set(range(max(0, n - 200), n))
+    for i, w in enumerate(words):
+        if re.search(r"[£$€]|salary|compensation|pay|per annum|p\.a\.", w, re.I):
+            spared |= set(range(max(0, i - 50), min(n, i + 50)))
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(range(n), key=lambda i: i in spared)]
+    at, best = 0, (0, 0)
+    for kept, size in runs:
+        if not kept and size > best[1]:
+            best = (at, size)
+        at += size
+    if not best[1]:
+        return text[: most * 4] + " [...]"
+    gone = n - most * 4 // 6
+    if gone <= 0:
+        return text
+    first = best[0] + (best[1] - gone) // 2
+    return " ".join([*words[: max(0, first)], "[...]", *words[min(first + gone, sum(best)) :]])
+
+
+def test_truncation_spares_head_tail_and_pay(spark):
+    rng = random.Random(4)
+    texts = ["short", "x" * 9000]
+    for n in (400, 900, 2500, 4000):
+        words = [f"w{i}" for i in range(n)]
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(n)] = rng.choice(["Salary", "£50k", "pay", "p.a."])
+        texts += [" ".join(words), "\n".join(words)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for most in (200, 1000):
+        got = {r.i: r.x for r in df.select("i", E.truncated(F.col("t"), most).alias("x")).collect()}
+        assert got == {i: cut_plainly(t, most) for i, t in enumerate(texts)}
+
+
+def chunks_plainly(text):
+    """Chunks with scores and flags, the first of those that differ in case alone."""
+    own = lambda s: re.sub(r"\s+", " ", s).strip()
+    bare = text.replace("\r", "").strip()
+    lines = [x for x in map(own, re.split("\n+", bare)) if x]
+    parts = lines if len(lines) >= 8 else [x for x in map(own, re.split(r"(?<=[.!?])\s+", bare)) if x]
+    out, seen = [], set()
+    for i, c in enumerate(parts):
+        if c.lower() not in seen:
+            seen.add(c.lower())
+            f = {k: any(re.search(p, c, re.I | re.A) for p in ps) for k, ps in E.FLAGS.items()}
+            score = sum(n for k, n in E.POINTS.items() if f[k]) + bool(re.match(r"\s*[-*•]", c)) - (len(c) < 24)
+            counter = f["abroad"] or f["other_tech"] or f["foreign_pay"]
+            critical = counter or any(f[k] for k in ("salary", "place", "tech", "level", "need"))
+            out.append({"i": i, "c": c, "score": score, "counter": counter, "critical": critical, "salience": score + 4 * counter + 2 * f["salary"] + f["place"] - 5 * (f["drop"] and not critical), **f})
+    return out
+
+
+def ranked_plainly(text, most, least=3):
+    cs = chunks_plainly(text)
+    if not cs:
+        return re.sub(r"\s+", " ", text).strip()[:most]
+    kept, used = [cs[0]], len(cs[0]["c"]) + 1
+    for c in sorted((c for c in cs[1:] if c["score"] >= least), key=lambda c: (-c["score"], c["i"])):
+        if used + len(c["c"]) + 1 <= most:
+            kept.append(c)
+            used += len(c["c"]) + 1
+    return "\n".join(c["c"] for c in sorted(kept if len(kept) > 1 else cs, key=lambda c: c["i"]))[:most].strip()
+
+
+def selective_plainly(text, most, least=3):
+    cs = chunks_plainly(text)
+    if not cs:
+        return re.sub(r"\s+", " ", text).strip()[:most]
+    kept, used = {}, 0
+
+    def add(found, quota=None):
+        nonlocal used
+        n = 0
+        for c in found:
+            if (quota is None or n < quota) and c["i"] not in kept and used + len(c["c"]) + 1 <= most:
+                kept[c["i"]], used, n = c, used + len(c["c"]) + 1, n + 1
+
+    add(cs[:2])
+    add([c for c in cs if c["counter"]], max(3, most // 900))
+    add([c for c in cs[::-1] if c["critical"] or c["counter"]], 3)
+    if not any(c["other_tech"] for c in kept.values()):
+        add([c for c in cs if c["other_tech"]][:1])
+    add([c for c in cs if c["salary"] and not c["foreign_pay"]][:1])
+    add([c for c in cs if c["salary"] and c["foreign_pay"]][:1])
+    add(sorted((c for c in cs if c["critical"] or c["score"] >= least or not c["drop"]), key=lambda c: (-c["salience"], c["i"])), max(8, most // 300))
+    add([c for c in cs if not c["drop"] or c["critical"]])
+    return "\n".join(c["c"] for c in (sorted(kept.values(), key=lambda c: c["i"]) if len(kept) > 1 else cs))[:most].strip()
+
+
+SAID = ["Intro line here.", "Salary is £50k per annum in London!", "We use Python, SQL and AWS daily.", "Senior Node.js developer required?", "Equal opportunity and diversity matter.", "Apply now.", "- remote work", "Paid in $ and EUR.", "Based in Berlin or New York.", "What you'll bring: skills.", "filler words and more of them here.", "FILLER words and more of them here.", "Écran día plan.", "Our mission is our privacy policy."]
+
+
+def test_extracts_are_what_a_plain_reading_gives(spark):
+    rng = random.Random(6)
+    texts = ["", " \n ", "one line"]
+    for _ in range(60):
+        some = [rng.choice(SAID) for _ in range(rng.randint(1, 25))]
+        texts.append(rng.choice([" ", "\n", "\r\n"]).join(some))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for most in (60, 300, 2200):
+        for own, plainly in ((E.ranked, ranked_plainly), (E.selective, selective_plainly)):
+            got = {r.i: r.x for r in df.select("i", own(F.col("t"), most=most).alias("x")).collect()}
+            assert got == {i: plainly(t, most) for i, t in enumerate(texts)}, (own.__name__, most)
+
+
+def test_versions_inherit_and_name_a_default(spark, monkeypatch):
+    assert versions.resolved("v13.1").senior == "LEVEL_3" and versions.resolved("v13.1").numeric is False and versions.resolved("v12").fallback == "LEVEL_1"
+    monkeypatch.setenv("SIFTWORK_VERSION", "v12")
+    assert one(spark, versions.resolved().seniority(F.col("t")), t="Senior Engineer") == "LEVEL_2"
+    with pytest.raises(ValueError):
+        versions.resolved("v99")
+
+
+def test_labelling_tries_again_and_reports(spark):
+    def model(text, attempt):
+        if text == "bad" or text == "slow" and attempt < 3:
+            raise TimeoutError("no")
+        return text.upper()
+
+    df = spark.createDataFrame([("a", "ok"), ("b", "slow"), ("c", "bad")], "job_id string, t string")
+    done = label.labelled_by(df, model, "t")
+    got = {r.job_id: (r.output, r.attempts, r.status) for r in label.outcomes(done, F.col("output") == "OK").collect()}
+    assert got == {"a": ("OK", 1, "success"), "b": ("SLOW", 3, "inconsistency"), "c": (None, 3, "failure")}
+    with pytest.raises(RuntimeError):
+        label.checked(done, 0)
+
+
+def test_ranks_by_hash_are_ranks(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, i % 2) for i in range(400)], "id long, s string, k int")
+    rows = sampling.hash_ranked(df, ["s", "k"], sampling.shuffled(7, "id"), "rn", "n").collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.s, r.k), []).append(r)
+    for found in by.values():
+        order = sorted(found, key=lambda r: hashlib.md5(f"7|{r.id}".encode()).hexdigest())
+        assert [r.rn for r in order] == list(range(1, len(found) + 1)) and {r.n for r in found} == {len(found)}
 
 
 def test_greedy_kept_follows_the_order(spark):
