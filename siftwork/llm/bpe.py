@@ -54,6 +54,11 @@ def spell(b: bytes) -> str:
     return b.decode("latin-1").translate(TO_LETTERS)
 
 
+def spelt(piece: str) -> bytes:
+    """The bytes that spell() made a piece of."""
+    return bytes(ord(c) - ord(LETTERS[0]) for c in piece)
+
+
 def serialised(ranks: dict[bytes, int]) -> bytes:
     """A sentencepiece model: piece 0 is unknown, piece r + 1 is the r-th token in the order of ranks."""
     piece = lambda text, score, kind: _field(1, 2, _field(1, 2, text.encode()) + _field(2, 5, struct.pack("<f", score)) + _field(3, 0, _varint(kind)))
@@ -96,7 +101,9 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
         ordered = sorted(ranks.items(), key=lambda x: x[1])
         self.rank_of = [-1, *[r for _, r in ordered]]
-        self.bytes_of = {r: t for t, r in ordered}
+        # the way back: a rank's piece as the model has it, its letters turned into bytes again
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes_of = {r: spelt(pieces[i]) for i, r in enumerate(self.rank_of) if i}
         self.seen: dict[str, bytes] = {}
 
     def _learn(self, pre: str) -> bytes:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.llm._shared import mix as mixed_bits
-from siftwork.llm._shared import settled
+from siftwork.llm._shared import cleared, settled
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -114,8 +114,9 @@ def _rounded(seed: int, level: int):
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """A row for each row of df: id, source, size, source_size, target (its source's) and copies."""
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
-    docs = settled(docs)
+    docs = written = settled(docs)
     goal = targets(docs)
+    goal_tables = [goal]
     salted = goal.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("source").alias("s"), "source_size", "n", "target")
     h = F.xxhash64("id", "size", F.lit(seed))
     docs = docs.select("id", "source", "size", h.alias("h"), F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
@@ -138,6 +139,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         blocks, level = -(-blocks // FAN), level + 1
         now = out.where("left").withColumn("block", F.floor(F.col("block") / FAN).cast("long")).drop("left")
     done.append(out.where("left"))
+    cleared(df.sparkSession, written, *goal_tables)
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)

@@ -42,6 +42,10 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(documents(spark, sf_dir))
 
 
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.links(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_spotsigs": op8_spotsigs,
+        "spotsigs_links": spotsigs_links,
         "op10_html_extraction": op10_html_extraction,
         "op9_quality_rules": op9_quality_rules,
     }

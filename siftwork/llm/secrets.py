@@ -53,6 +53,12 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]{16,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}"),
+    Rule("huggingface", r"hf_[A-Za-z0-9]{30,}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,12}://[A-Za-z0-9_.~%+-]{1,64}:[A-Za-z0-9_.~%+!-]{3,64}@"),
 )

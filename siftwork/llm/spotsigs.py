@@ -145,6 +145,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, size int, fingerprint string").withColumnRenamed("id", id_col)
 
 
+def links(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of df: id, class_id (the smallest id of its fingerprint, null if none has one) and n_links, the number
+    of other classes whose fingerprint's likeness to its own is at least `least`. Classes without an id link with nothing."""
+    prints = settled(fingerprints(df, id_col, text_col))
+    pairs = settled(near_pairs(prints.where(F.col(id_col).isNotNull()), least, id_col))
+    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    n = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    classes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("class_id")).join(n, "class_id", "left")
+    return prints.select(id_col, "fingerprint").join(classes, "fingerprint").select(id_col, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_pairs(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """Pairs of different fingerprints whose likeness is at least `least`, between one row of each: a, b, likeness (a < b).
 

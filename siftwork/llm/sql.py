@@ -60,34 +60,43 @@ select page_id, url, t text, length(t)::bigint n_chars from (select page_id, url
 """
 
 
-def _spans(rules) -> str:
+#: op1's base kinds as the contract gives them: kind, pattern, the group whose length counts, its least length.
+SECRETS = [
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+]
+
+
+def _spans(more) -> str:
     """Every rule's matches with their places: lengths of what stands between and of the matches, summed up."""
     each = []
-    for k, r in enumerate(rules):
-        pattern = r.pattern.replace("'", "''").replace("(?i:(password|passwd|secret|token|api_?key))", "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])")
-        each.append(f"select doc_id, {k} kind_no, '{r.kind}' kind, unnest(regexp_extract_all(t, '{pattern}')) m, unnest(regexp_split_to_array(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) gap, unnest(range(len(regexp_extract_all(t, '{pattern}')))) i, {r.least} least, {f"length(regexp_extract(m, '{pattern}', {r.group}))" if r.group else 'length(m)'} size from d")
+    for k, (kind, pattern, group, least) in enumerate([*SECRETS, *[(r.kind, r.pattern.replace("'", "''"), r.group, r.least) for r in more]]):
+        each.append(f"select doc_id, {k} kind_no, '{kind}' kind, unnest(regexp_extract_all(t, '{pattern}')) m, unnest(regexp_split_to_array(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) gap, unnest(range(len(regexp_extract_all(t, '{pattern}')))) i, {least} least, {f"length(regexp_extract(m, '{pattern}', {group}))" if group else 'length(m)'} size from d")
     return " union all ".join(each)
 
 
 def secret_spans() -> str:
-    from siftwork.llm.secrets import BASE, MORE
+    from siftwork.llm.secrets import MORE
 
+    kinds = [k for k, *_ in SECRETS]
     said = "kind || ':' || (stop - length(m)) || ':' || stop"
-    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    base = ", ".join(f"'{k}'" for k in kinds)
     return f"""
-with d as materialized (select doc_id, coalesce(text, '') t from documents), m as materialized ({_spans(BASE + MORE)}),
+with d as materialized (select doc_id, coalesce(text, '') t from documents), m as materialized ({_spans(MORE)}),
 p as (select *, (sum(length(gap) + length(m)) over (partition by doc_id, kind_no order by i))::bigint stop from m), s as (select * from p where size >= least),
-g as (select doc_id, {', '.join(f"count(*) filter (kind = '{r.kind}') n_{r.kind}" for r in BASE)}, string_agg({said}, ',' order by stop - length(m), kind_no) filter (kind in ({base})) b, string_agg({said}, ',' order by stop - length(m), kind_no) spans from s group by 1)
-select doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) n_{r.kind}' for r in BASE)}, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join g using (doc_id)
+g as (select doc_id, {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in kinds)}, string_agg({said}, ',' order by stop - length(m), kind_no) filter (kind in ({base})) b, string_agg({said}, ',' order by stop - length(m), kind_no) spans from s group by 1)
+select doc_id, {', '.join(f'coalesce(n_{k}, 0) n_{k}' for k in kinds)}, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join g using (doc_id)
 """
 
 
 def license_labels() -> str:
-    from siftwork.llm.licenses import PHRASES, TEMPLATES, template_regex
+    from siftwork.llm.licenses import TEMPLATES, template_regex
 
-    base = ", ".join(f"case when contains(j, ' {p} ') then '{k}' end" for p, k in PHRASES.items())
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    base = ", ".join(f"case when contains(j, ' {p} ') then '{k}' end" for p, k in phrases.items())
     more = ", ".join(f"""case when regexp_matches(j, ' {template_regex(t).replace(chr(92) + "-", "-")}') then '{k}' end""" for k, t in TEMPLATES.items())
-    at = " or ".join("(" + " and ".join(f"ws[i{f' + {n}' if n else ''}] = '{w}'" for n, w in enumerate(p.split())) + ")" for p in PHRASES)
+    at = " or ".join("(" + " and ".join(f"ws[i{f' + {n}' if n else ''}] = '{w}'" for n, w in enumerate(p.split())) + ")" for p in phrases)
     joined = "coalesce(list_aggregate(list_sort(list_distinct(list_filter({}, lambda x: x is not null))), 'string_agg', ','), '')"
     return rf"""
 with d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
@@ -115,7 +124,18 @@ select doc_id, n_chars, edited_sha256, list_aggregate(la, 'string_agg', '') fing
 """
 
 
+def fingerprint_links() -> str:
+    """Pairs of classes by brute force: signatures joined and counted."""
+    head = fingerprints().split("m as (select a.doc_id, length(a.t)")[0].rstrip().rstrip(",")
+    return head + """,
+  k as materialized (select doc_id, l, min(doc_id) over (partition by l) class_id from f where kind = 0), cl as materialized (select class_id, any_value(l) l from k group by 1), u as materialized (select class_id, len(l) n, unnest(l) s from cl),
+  p as materialized (select a.class_id a, b.class_id b, any_value(a.n) na, any_value(b.n) nb, count(*) nab from u a join u b on a.s = b.s and a.class_id <> b.class_id group by 1, 2),
+  q as (select a, count(*) n_links from p where nab >= 0.8 * (na + nb - nab) group by 1)
+select doc_id, class_id, coalesce(n_links, 0) n_links from k left join q on q.a = class_id"""
+
+
 ORACLES = {
+    "spotsigs_links": fingerprint_links(),
     "op8_spotsigs": fingerprints(),
     "op1_secret_scans": secret_spans(),
     "op2_license_scans": license_labels(),

@@ -8,8 +8,9 @@ suffixes are sorted by external induced sorting (module induced): recursive, wit
 common prefixes. Neighbours of common prefix LENGTH or more hold one string, and the smallest id among its documents keeps
 it. Nothing in a shard need fit in memory: its rows are read as a stream, and covers, queues and lists are files.
 
-A minimizer that stands at more than MANY places of one segment is hot: its occurrences are sent as single strings, each
-under a key of its own, so they spread over all shards.
+A minimizer that stands at more than MANY places of some segment, or in more than MANY segments, is hot, which the first
+round tells every segment that has it: its occurrences are sent as single strings, each under a key of its own, so they
+spread over all shards.
 
 Only documents with a smaller id count, so repeats within a document, or between rows of one id, stay; rows without an id
 come last. Null texts are empty. Other columns are ignored; empty tables give empty results. Ids are integers.
@@ -35,7 +36,7 @@ STRINGS = LENGTH - GRAM + 1
 COVER = LENGTH + STRINGS - 1
 #: A byte that UTF-8 never has; fills what lies beyond a document's ends.
 BEYOND = 0xFF
-#: Places of a minimizer in one segment beyond which it is hot.
+#: Places of a minimizer in one segment, or segments that have it, beyond which it is hot.
 MANY = 64
 SEGMENT = 2 << 20
 _SPAN = 1 << 18
@@ -107,9 +108,10 @@ class _Bytes:
         self.low, self.high = seg.at[self.doc], seg.at[self.doc + 1]
         self.keys, self.order, self.begin = sg.distinct(self.hash)
 
-    def sent(self) -> np.ndarray:
-        twice = np.diff(np.append(self.begin, len(self.at))) > 1
-        return ((self.keys & U64((1 << 30) - 1)) << U64(2)).astype(np.uint32) | (twice.astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+    def sent(self, many: int) -> np.ndarray:
+        """A word for each key: 30 bits of it, then whether the segment has it twice, then whether at many places."""
+        times = np.diff(np.append(self.begin, len(self.at)))
+        return ((self.keys & U64((1 << 30) - 1)) << U64(2)).astype(np.uint32) | ((times > 1).astype(np.uint32) << np.uint32(1)) | (times > many).astype(np.uint32)
 
     def live(self, bits: np.ndarray) -> np.ndarray:
         hit = np.empty(len(self.at), bool)
@@ -121,10 +123,9 @@ class _Covers:
     """What lies around the live anchors, distinct by bytes, with the smallest id that has it. A hot anchor has instead, for
     each string around it, a cover that begins and ends with the string."""
 
-    def __init__(self, b: _Bytes, live: np.ndarray):
-        times = np.diff(np.append(b.begin, len(b.at)))
-        hot = np.empty(len(b.at), bool)
-        hot[b.order] = np.repeat(times > MANY, times)
+    def __init__(self, b: _Bytes, bits: np.ndarray):
+        """bits: for each key, whether it is live and whether it is hot."""
+        live, hot = b.live(bits[:, 0]), b.live(bits[:, 1])
         one, many = live & ~hot, live & hot
         starts = (b.at[many][:, None] - np.arange(STRINGS)).ravel()
         inside = (starts >= np.repeat(b.low[many], STRINGS)) & (starts + LENGTH <= np.repeat(b.high[many], STRINGS))
@@ -166,6 +167,22 @@ def _columns(raw: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarr
         yield byte
 
 
+def met(many: int, limits: induced.Limits = induced.Limits()):
+    """For columns of words, as _Bytes.sent() gives them: which keys stand in two places, and which are hot."""
+
+    def judge(columns: sg.Row) -> np.ndarray:
+        (word,) = columns
+        _, order, begin = sg.distinct(word >> np.uint32(2))
+        flags = np.bitwise_or.reduceat(word[order] & np.uint32(3), begin)
+        count = np.diff(np.append(begin, len(word)))
+        out = np.empty((len(word), 2), bool)
+        out[order, 0] = np.repeat((count > 1) | (flags & 2 > 0), count)
+        out[order, 1] = np.repeat((count > many) | (flags & 1 > 0), count)
+        return out
+
+    return lambda rows: sg.dealt(rows, lambda row: ((row[0] >> np.uint32(2)) & np.uint32(255)).astype(np.uint8), [np.uint32], 2, judge, limits)
+
+
 def smaller_has(rows: Iterator[sg.Row], limits: induced.Limits = induced.Limits(deep=LENGTH)) -> Iterator[np.ndarray]:
     """For covers and their documents, in rows: which of a cover's strings a smaller document's cover has, row by row."""
     texts, queue, sizes = induced.Growing(np.uint8, limits.small), induced.Queue([np.uint64, np.uint64, np.int64, np.int64], limits.room, True), []
@@ -255,7 +272,7 @@ def _groups(held: np.ndarray, places: np.ndarray, common: np.ndarray, least: np.
     return places[start[-1] :] if len(start) else places
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, many: int = MANY) -> DataFrame:
     """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes)."""
     spark = df.sparkSession
     table, name = sg.pack(df, id_col, text_col, SEGMENT)
@@ -263,11 +280,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
 
     def anchors(seg: sg.Segment):
         b = _Bytes(seg)
-        return b.keys, [b.sent()]
+        return b.keys, [b.sent(many)]
 
     def covers(seg: sg.Segment, bits):
         b = _Bytes(seg)
-        c = _Covers(b, b.live(bits(b.keys, shards)))
+        c = _Covers(b, bits(b.keys, shards, 2))
         return c.keys, [c.text(), c.least]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +292,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
             for k in range(batch.num_rows):
                 seg = sg.unpack(batch, k)
                 b = _Bytes(seg)
-                live = b.live(sg.bits_of(batch.select(["found"]).rename_columns(["answers"]), k)(b.keys, shards))
-                c = _Covers(b, live)
+                c = _Covers(b, sg.bits_of(batch.select(["found"]).rename_columns(["answers"]), k)(b.keys, shards, 2))
                 gone = _gone(b, c, sg.bits_of(batch, k)(c.keys, shards, STRINGS))
-                del b, c, live
+                del b, c
                 none = set(np.frombuffer(batch.column("none")[k].as_py(), np.int32).tolist())
                 out = []
                 for d, (i, j) in enumerate(zip(seg.at[:-1].tolist(), seg.at[1:].tolist(), strict=True)):
@@ -295,7 +311,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
 
     try:
         with scratched(spark) as keep:
-            found = keep(sg.ask(table, anchors, shards, sg.met_elsewhere, [np.uint32]))
+            found = keep(sg.ask(table, anchors, shards, met(many), [np.uint32]))
             shared = keep(sg.ask(table, covers, shards, smaller_has, [f"V{COVER}", np.int64], found))
             both = sg.answered(sg.answered(table, found).withColumnRenamed("answers", "found"), shared)
             out = settled(both.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if texts else ''}"))

@@ -149,11 +149,13 @@ print(n)
     assert int(done.stdout.split()[-1]) == 399 * 500
 
 
-def test_hot_minimizers_are_split(spark, monkeypatch):
-    monkeypatch.setattr(sx, "MANY", 2)
+@pytest.mark.parametrize("many", [0, 2, 12])
+def test_hot_minimizers_are_split(spark, many):
     rng = random.Random(7)
     common = "thequickbrownfoxjumpsoverthelazydog"
     side = ["".join(rng.choice("abc") for _ in range(14)) for _ in range(6)]
     rows = [(i, " ".join(rng.choice(side) + common + rng.choice(side) for _ in range(3))) for i in range(60)]
-    got = {r.doc_id: tuple(r)[1:] for r in sx.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows += [(100 + i, " ".join(rng.choice(side) + common + rng.choice(side) for _ in range(i % 4))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    got = {r.doc_id: tuple(r)[1:] for r in sx.repeats(df, many=many).collect()}
     assert got == plain(rows)
