@@ -333,27 +333,60 @@ def test_repeated_rows_of_a_page_agree(spark):
 
 
 def test_the_pipeline_stage_by_stage(spark, corpus, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline as cp
+    from siftwork.llm import bpe, quality
 
     cols = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(r.doc_id, r.text, "en", r.source, None if r.text is None else len(r.text)) for r in corpus.collect()]
     rows += [(9001, "###&&& $$$ " * 40, "en", "a", 440), (9002, prose(60) + " token = abcdef123456", "en", "b", 10)]
+    alone = prose(70)  # rows without an id, and two texts under one id
+    rows += [(None, alone, "en", "c", None), (None, alone, None, None, None), (None, prose(55), "fr", "a", 1), (9003, prose(64), "en", "a", 1), (9003, prose(66), "en", None, 1)]
     docs = spark.createDataFrame(rows, cols)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for k, (_, stage) in enumerate(cp.STAGES):
         before, docs = docs, stage(spark, docs, str(tmp_path))
         docs.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         if k < 4:
             assert sorted(docs.columns) == sorted(before.columns)
-        ids = [r.doc_id for r in docs.collect()]
+        was, now = before.collect(), docs.collect()
+        ids = [r.doc_id for r in now]
         if k == 0:
-            assert 9001 not in ids and 9002 in ids and len(ids) > 50
+            assert 9001 not in ids and 9002 in ids and len(ids) > 50 and ids.count(9003) == 2 and ids.count(None) == 3
+            assert sorted(map(str, now)) == sorted(map(str, quality.keep(before).collect()))
         elif k == 1:
-            _, label = components_of(rows_of(before), 5)
-            assert sorted(ids) == sorted(i for i in label if label[i] == i)
+            _, label = components_of(list(enumerate(r.text for r in was)), 5)
+            left = [r.text for r in now]
+            assert len(now) == len(set(label.values()))
+            for group in set(label.values()):
+                assert sum(was[i].text in left for i in label if label[i] == group) >= 1
+            named = {group: min((was[i].doc_id for i in label if label[i] == group and was[i].doc_id is not None), default=None) for group in set(label.values())}
+            assert sorted(map(str, ids)) == sorted(map(str, named.values()))
         elif k == 2:
-            assert "[secret]" in docs.where("doc_id = 9002").first().text and len(ids) == before.count()
+            assert "[secret]" in docs.where("doc_id = 9002").first().text and len(now) == len(was)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in now)
+        elif k == 3:
+            copies = {}
+            for r in mixing.plan(before).collect():
+                copies[r.doc_id, r.source, r.size] = copies.get((r.doc_id, r.source, r.size), 0) + r.copies
+            got = {}
+            for r in now:
+                key = r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+                got[key] = got.get(key, 0) + 1
+            assert got == {x: n for x, n in copies.items() if n} and {r.text for r in now} <= {r.text for r in was}
         elif k == 4:
-            assert len(ids) == before.count()
-    assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+            want = sorted((str(r.doc_id), len(x := theirs.encode_ordinary(r.text or "")), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in x)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in was)
+            assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in now) == want
+    assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, now))
+
+
+def test_near_groups_miss_nothing_on_the_smallest_tables(spark):
+    """Recall against brute force over all pairs of a corpus with copies of all degrees."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    _, label = components_of(rows_of(docs))
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(docs).collect()} == label
