@@ -139,12 +139,12 @@ def early_exit_rules(spark, d):
     return H.stops(rows, "grp", "job_index", F.col("p_label") == F.col("g_label"), "p_label", seconds="secs", limit=2.6)
 
 
-@query("select event_type, event_id, round(done * 1.0 / total, 6) share, round(elapsed::double / done * (total - done), 1) eta from (select event_type, event_id, row_number() over w done, count(*) over (partition by event_type) total, sum(value::decimal(18, 6)) over w elapsed from events window w as (partition by event_type order by event_id)) x")
+@query("select event_type, event_id, round(done * 1.0 / total, 6) share, floor(elapsed::double / done * (total - done))::bigint eta from (select event_type, event_id, row_number() over w done, count(*) over (partition by event_type) total, sum(value::decimal(18, 6)) over w elapsed from events window w as (partition by event_type order by event_id)) x")
 def run_eta(spark, d):
     """What is left at the mean pace so far."""
     w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = table(spark, d, "events").select("event_type", "event_id", F.count("*").over(w).alias("done"), F.count("*").over(Window.partitionBy("event_type")).alias("total"), F.sum(F.col("value").cast("decimal(18,6)")).over(w).cast("double").alias("elapsed"))
-    return e.select("event_type", "event_id", F.round(F.col("done") / F.col("total"), 6).alias("share"), F.round(F.col("elapsed") / F.col("done") * (F.col("total") - F.col("done")), 1).alias("eta"))
+    return e.select("event_type", "event_id", F.round(F.col("done") / F.col("total"), 6).alias("share"), F.floor(F.col("elapsed") / F.col("done") * (F.col("total") - F.col("done"))).alias("eta"))
 
 
 SYN = "(lower(title) like '%node%' or source_file in ('src3', 'src4') or job_id like 'doc_1%' or contains(jd_text, 'CodeSynthetic') or dent = 3)"

@@ -68,7 +68,7 @@ def test_caps_count_only_rows_that_are_taken(spark):
 
 def test_whole_tables_are_taken(spark):
     n = table(spark, SF, "labelled").count()
-    assert catalog.QUERIES["variant_grid_all"](spark, SF).count() == 4 * n
+    assert catalog.QUERIES["variant_grid"](spark, SF).count() == 4 * n
     jobs = table(spark, SF, "jobs")
     assert catalog.QUERIES["min_length"](spark, SF).count() == jobs.where("length(trim(body)) >= 30 and job_id <> ''").count()
 
