@@ -13,8 +13,9 @@ share none are not, however many others lie between them:
   into parts of about CHUNK, each of which gets the hub's set, and all sets of a part meet, so that the members of a large
   group are linked to one another where few are near the hub;
 * then, in bands of three or more members that these links leave in several components, all members of different ones.
-  Members of the largest component meet the others only. Members are cut into blocks, of CHUNK sets or, if there are many,
-  of as many as there are blocks, and two blocks meet in one task. No cap, no pair list.
+  Members of the largest component meet the others only. Members are cut into blocks, of BLOCK sets or, if there are many,
+  of four times the root of their number, and two blocks meet in one task, so a member is sent no more than a quarter of
+  that root times. No cap, no pair list.
 
 Both count intersections through an inverted index, in tasks of bounded size, and return a forest of links.
 
@@ -43,8 +44,8 @@ from siftwork.llm._shared import BATCH_BYTES, U64, buffer_of, cleared, component
 SHINGLE = 4
 BANDS, ROWS = 28, 4
 UNIVERSE = 1 << 20
-#: Members of a block, or of a hub's share of its band; shingles of a block, about (a single longer document excepted).
-CHUNK, CHUNK_SHINGLES = 64, 1_000_000
+#: Members of a hub's part; members of a block at least; shingles of a block, about (a single longer document excepted).
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 256, 1_000_000
 
 
 @cache
@@ -258,7 +259,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         rest = crowd.join(open_bands, "band")
         sizes = rest.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         most = sizes.groupBy("band").agg(F.max(F.struct("c", "label", "s")).alias("big"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-        blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(c)))), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+        blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / F.greatest(F.lit(BLOCK), F.ceil(4 * F.sqrt(c)))), F.ceil(s / BLOCK_SHINGLES)).cast("int")
         cut = keep(most.select("band", F.col("big.label").alias("big"), blocks(F.col("big.c"), F.col("big.s")).alias("majors"), blocks(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("minors")))
         placed = rest.join(cut, "band").withColumn("major", F.col("label") == F.col("big"))
         placed = placed.withColumn("block", F.when(F.col("major"), -1 - F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int"))

@@ -69,6 +69,7 @@ def test_near_groups_are_all_links(corpus, width):
 
 def test_blocks_of_a_large_group_meet(corpus, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
     s, label = components_of(rows_of(corpus))
     assert {r.doc_id: r.component_id for r in minhash.near_groups(corpus).collect()} == label
 
@@ -105,6 +106,7 @@ def test_rows_without_ids_are_deduplicated_among_themselves(spark):
 
 def test_a_chain_of_near_copies_is_one_group(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     w = prose(200).split()
     texts = [" ".join([*(f"z{j}" for j in range(k)), *w[k:]]) for k in range(0, 120, 6)]  # each is near the next ones only
     df = spark.createDataFrame([(len(texts) - k, t) for k, t in enumerate(texts)] + [(90 + k, prose(80)) for k in range(5)], "doc_id long, text string").repartition(3)
