@@ -36,8 +36,9 @@ STRINGS = LENGTH - GRAM + 1
 COVER = LENGTH + STRINGS - 1
 #: A byte that UTF-8 never has; fills what lies beyond a document's ends.
 BEYOND = 0xFF
-#: Places of a minimizer in one segment, or segments that have it, beyond which it is hot.
-MANY = 64
+#: Places of a minimizer in one segment, or segments that have it, beyond which it is hot. Strings take some twenty times
+#: the room of covers, and copies of a document in one segment are one cover, so the number is well above that of copies.
+MANY = 1024
 SEGMENT = 2 << 20
 _SPAN = 1 << 18
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -265,7 +266,8 @@ def _groups(held: np.ndarray, places: np.ndarray, common: np.ndarray, least: np.
     whole = np.concatenate([held, places[: start[-1]]]) if len(start) else held
     cut = np.concatenate([[0], start[:-1] + len(held)]) if len(start) else np.zeros(1, np.int64)
     if len(whole):
-        cut = np.unique(cut[cut < len(whole)])
+        cut = cut[cut < len(whole)]
+        cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
         doc = np.asarray(least[whole // (COVER + 1)])
         smallest = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.append(cut, len(whole))))
         said(whole // (COVER + 1), whole % (COVER + 1), doc, smallest)
