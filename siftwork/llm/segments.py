@@ -182,9 +182,9 @@ def shards_for(spark: SparkSession, items: int, segment: int, each: int = 2_000_
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-items // each), segment // LEAST_KEYS))
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray, kind: str | None = "stable") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the order that sorts all, and where each distinct key begins in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind=kind)
     s = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return s[begin], order, begin

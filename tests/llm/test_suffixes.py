@@ -159,3 +159,56 @@ def test_hot_minimizers_are_split(spark, many):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
     got = {r.doc_id: tuple(r)[1:] for r in sx.repeats(df, many=many).collect()}
     assert got == plain(rows)
+
+
+def test_only_what_can_be_in_a_common_string_is_sorted(monkeypatch):
+    """Covers of one gram that share less than a string are not sorted, others without what no other cover shares."""
+    sizes, sort = [], induced.suffixes
+    monkeypatch.setattr(induced, "suffixes", lambda x, *a: sizes.append(len(x)) or sort(x, *a))
+    rng = np.random.default_rng(11)
+    rows = np.tile(rng.integers(97, 123, sx.COVER).astype(np.uint8), (400, 1))
+    side = sx.STRINGS - 1
+    rows[:, : side - 9] = rng.integers(97, 123, (400, side - 9))
+    rows[:, side + sx.GRAM + 9 :] = rng.integers(97, 123, (400, side - 9))
+    told = lambda: np.concatenate(list(sx.smaller_has(iter([(rows.view(f"V{sx.COVER}").reshape(-1), np.arange(400))]))))
+    assert not told().any() and sum(sizes) == 0
+    rows[3, : side + sx.GRAM + 8] = rows[2, : side + sx.GRAM + 8]
+    rows[3, side + sx.GRAM + 8 :] = 67
+    sizes.clear()
+    assert told().reshape(400, -1).sum(axis=1).tolist() == [0, 0, 0, 9, *[0] * 396] and sum(sizes) < 4 * sx.COVER
+
+
+@pytest.mark.parametrize("chunk", [3, 40, 1 << 18])
+def test_cut_covers_lose_and_add_no_string(chunk):
+    """Grams with more covers than are compared at once, covers at the ends of texts, runs of one byte."""
+    rng = np.random.default_rng(chunk)
+    side, n = sx.STRINGS - 1, 300
+    base = rng.integers(97, 99, (20, sx.COVER)).astype(np.uint8)
+    base[:, side : side + sx.GRAM] = base[rng.integers(0, 3, 20)][:, side : side + sx.GRAM]
+    base[5:8] = 97
+    rows = base[rng.integers(0, 20, n)].copy()
+    for r in rows:
+        for _ in range(rng.integers(0, 3)):
+            r[rng.choice([*range(side), *range(side + sx.GRAM, sx.COVER)])] = 120
+        r[: rng.choice([0, 0, 7, side])] = sx.BEYOND
+        r[sx.COVER - rng.choice([0, 0, 9, side]) :] = sx.BEYOND
+    doc = rng.integers(0, 60, n)
+    limits = induced.Limits(room=4000, chunk=chunk, base=8, small=256)
+    got = np.concatenate(list(sx.smaller_has(iter([(rows.view(f"V{sx.COVER}").reshape(-1), doc)]), limits))).reshape(n, sx.STRINGS)
+    grams, least = [bytes(r[side : side + sx.GRAM]) for r in rows], {}
+    texts = [[bytes(r[c : c + sx.LENGTH]) for c in range(sx.STRINGS)] for r in rows]
+    for i, c in itertools.product(range(n), range(sx.STRINGS)):
+        k = grams[i], c, texts[i][c]
+        least[k] = min(least.get(k, doc[i]), doc[i])
+    inside = [(i, c) for i, c in itertools.product(range(n), range(sx.STRINGS)) if sx.BEYOND not in texts[i][c]]
+    assert all(got[i, c] == (least[grams[i], c, texts[i][c]] < doc[i]) for i, c in inside) and 500 < sum(got[i, c] for i, c in inside) < len(inside)
+
+
+def test_equal_strings_have_equal_anchors():
+    rng = np.random.default_rng(12)
+    for text in (rng.integers(97, 99, 70_000), rng.integers(97, 123, 140_000), np.full(66_000, 97)):
+        raw = text.astype(np.uint8)
+        valid = np.ones(len(raw) - sx.LENGTH + 1, bool)
+        whole, rest = sx.anchored(raw, valid), sx.anchored(raw[41:].copy(), valid[41:])
+        assert (np.diff(whole) <= sx.STRINGS).all() and set(rest + 41) <= set(whole) and set(whole[whole >= 41 + sx.STRINGS]) <= set(rest + 41)
+        assert (sx.gram_hashes(raw, rest + 41) == sx.gram_hashes(raw[41:].copy(), rest)).all()
